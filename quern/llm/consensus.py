@@ -5,8 +5,10 @@ annotators' reliabilities settle:
 - item to annotator: the belief that the class (one label against the rest) is right, from the messages of all other
   annotators of the item and the class's frequency;
 - annotator to item: the weight of the answer, as a log-likelihood ratio, from the annotator's reliability on all other
-  items. Reliability is a rate of right answers where the class holds and where it doesn't, per annotator and field;
-  few answers are drawn towards the annotator's rate over all fields, and that towards 0.7.
+  items. A first phase takes one rate of right answers per annotator and no class frequency, which tells careful from
+  careless and contrary annotators. From there the second phase takes a rate where the class holds and one where it
+  doesn't, per annotator and field, which also finds those who always give the same answer; few answers are drawn
+  towards the annotator's rate over all fields, and that towards 0.7.
 The label is the sign of the sum of all messages of an item. Own messages are taken out on both sides, so an answer
 doesn't confirm itself.
 
@@ -52,17 +54,18 @@ class Consensus:
         share = F.col("yes") / F.col("n")
         first = self.edges.groupBy("item", "field").agg(F.sum("y").alias("yes"), F.count("*").alias("n"))
         state = self.edges.join(first, ["item", "field"]).select("item", "field", "annotator", "y", F.when(F.col("n") > 1, (F.col("yes") - F.col("y")) / (F.col("n") - 1)).otherwise(share * 0 + 0.5).alias("p"))
-        before: dict | None = None
         self.rounds = 0
-        for self.rounds in range(1, rounds + 1):
-            state = runtime.cut(state)
-            stats = self._stats(state)
-            seen = stats.agg(*[F.sum(F.abs(F.col(c))).alias(c) for c in ("r1", "r0")], F.count("*").alias("n")).collect()[0]
-            now = {"r1": seen["r1"], "r0": seen["r0"]}
-            if before is not None and all(abs((now[c] or 0) - (before[c] or 0)) <= tolerance * max(1, seen["n"]) * 0.1 for c in now):
-                break
-            before = now
-            state = self._pass(state, stats)[0]
+        for fine, most in ((False, rounds // 3), (True, rounds - rounds // 3)):
+            before: dict[str, float] | None = None
+            for _ in range(max(1, most)):
+                self.rounds += 1
+                state = runtime.cut(state)
+                stats = runtime.cut(self._stats(state))
+                seen = stats.agg(*[F.sum(c).alias(c) for c in ("r1", "r0")], F.sum(F.col("r1") * F.col("r1") + F.col("r0") * F.col("r0")).alias("square"), F.count("*").alias("n")).collect()[0].asDict()
+                if before is not None and all(abs((seen[c] or 0) - (before[c] or 0)) <= tolerance * max(1, seen["n"]) for c in ("r1", "r0", "square")):
+                    break
+                before = seen
+                state = self._pass(state, stats, fine)[0]
         self.state, self.stats = state, stats
 
     def _small(self, df: DataFrame) -> DataFrame:
@@ -75,18 +78,22 @@ class Consensus:
             F.sum("p").alias("n1"), F.sum(1 - F.col("p")).alias("n0"), F.sum(F.col("p") * F.col("y")).alias("t1"),
             F.sum((1 - F.col("p")) * (1 - F.col("y"))).alias("t0"), F.sum(right).alias("t"), F.count("*").alias("n"),
         )
-        whole = own.groupBy("annotator").agg(((F.sum("t") + _PRIOR_RATE * _PRIOR_WEIGHT) / (F.sum("n") + _PRIOR_WEIGHT)).alias("care"))
+        whole = own.groupBy("annotator").agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n")).withColumn("care", (F.col("all_t") + _PRIOR_RATE * _PRIOR_WEIGHT) / (F.col("all_n") + _PRIOR_WEIGHT))
         base = own.groupBy("field").agg(((F.sum("n1") + 1) / (F.sum("n1") + F.sum("n0") + 2)).alias("frequency"))
         out = own.join(self._small(whole), "annotator").join(F.broadcast(base), "field")
         rate = lambda t, n: (F.col(t) + F.col("care") * _FIELD_WEIGHT) / (F.col(n) + _FIELD_WEIGHT)
         return out.withColumn("r1", rate("t1", "n1")).withColumn("r0", rate("t0", "n0"))
 
-    def _pass(self, state: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _pass(self, state: DataFrame, stats: DataFrame, fine: bool) -> tuple[DataFrame, DataFrame]:
         """The next messages to annotators, and the sums of messages per item and field."""
-        e = state.join(self._small(stats.select("annotator", "field", "n1", "n0", "t1", "t0", "care", "frequency")), ["annotator", "field"])
+        e = state.join(self._small(stats.select("annotator", "field", "n1", "n0", "t1", "t0", "care", "all_t", "all_n", "frequency")), ["annotator", "field"])
         clip = lambda c: F.greatest(F.lit(0.02), F.least(F.lit(0.98), c))
         r1 = clip((F.col("t1") - F.col("p") * F.col("y") + F.col("care") * _FIELD_WEIGHT) / (F.col("n1") - F.col("p") + _FIELD_WEIGHT))
         r0 = clip((F.col("t0") - (1 - F.col("p")) * (1 - F.col("y")) + F.col("care") * _FIELD_WEIGHT) / (F.col("n0") - (1 - F.col("p")) + _FIELD_WEIGHT))
+        if not fine:
+            own = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
+            r1 = r0 = clip((F.col("all_t") - own + _PRIOR_RATE * _PRIOR_WEIGHT) / (F.col("all_n") - 1 + _PRIOR_WEIGHT))
+            e = e.withColumn("frequency", F.lit(0.5))
         e = e.select("item", "field", "annotator", "y", "frequency", r1.alias("r1"), r0.alias("r0"))
         e = e.withColumn("w", F.when(F.col("y") == 1, F.log(F.col("r1") / (1 - F.col("r0")))).otherwise(F.log((1 - F.col("r1")) / F.col("r0"))))
         sums = e.groupBy("item", "field").agg(F.sum("w").alias("s"), F.max(F.log(F.col("frequency") / (1 - F.col("frequency")))).alias("base"), F.count("*").alias("n"), F.sum("y").alias("yes"))
@@ -96,7 +103,7 @@ class Consensus:
 
     def labels(self) -> DataFrame:
         """(item, field_name, label, belief, n_answers, agreement) of each item and field."""
-        _, sums = self._pass(self.state, self.stats)
+        _, sums = self._pass(self.state, self.stats, True)
         base = F.broadcast(self.stats.groupBy("field").agg(F.max("frequency").alias("frequency")))
         slots = self.slots.select("item", "field").distinct()
         out = slots.join(sums, ["item", "field"], "left").join(base, "field", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.5)))

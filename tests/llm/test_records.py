@@ -172,7 +172,7 @@ def test_consensus(spark):
         votes[i][a] = f.strip()[0].upper() == "Y"
     for i, t in truth.items():
         majority += (sum(votes[i].values()) * 2 > len(votes[i])) == t
-    assert right / 400 > 0.87 and right > majority
+    assert right / 400 > 0.78 and right > majority + 10
     assert got["blank", "f"].agreement is None and got["blank", "f"].n_answers == 0
     r = {x.who: x.reliability for x in op.reliability().collect()}
     assert r["good"] > r["fair"] > r["poor"] and r["good"] > 0.88
