@@ -149,7 +149,7 @@ def test_components(spark):
 
 def test_consensus(spark):
     rng = random.Random(8)
-    care = {"good": 0.95, "fair": 0.85, "poor": 0.55, "bad": 0.5, "yes": None, "ok": 0.8, "worse": 0.5}
+    care = {"good": 0.95, "fair": 0.85, "poor": 0.6, "contrary": 0.2, "yes": None, "ok": 0.8, "able": 0.9}
     truth, rows = {}, []
     for i in range(400):
         item = f"I{i}"
@@ -175,5 +175,5 @@ def test_consensus(spark):
     assert right / 400 > 0.78 and right > majority + 10
     assert got["blank", "f"].agreement is None and got["blank", "f"].n_answers == 0
     r = {x.who: x.reliability for x in op.reliability().collect()}
-    assert r["good"] > r["fair"] > r["poor"] and r["good"] > 0.88
+    assert r["good"] > r["ok"] > r["poor"] > r["contrary"] and r["good"] > 0.88
     assert Consensus(df.limit(0), "item", "who", "at", ["f"]).labels().count() == 0
