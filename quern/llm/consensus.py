@@ -2,15 +2,15 @@
 
 Each answer of an annotator on a field of an item is an edge. Messages in both directions are repeated until the
 annotators' reliabilities settle:
-- item to annotator: the belief that the class (one label against the rest) is right, from the messages of all other
-  annotators of the item and the class's frequency;
+- item to annotator: the belief that the class (one label against the rest) is right, from the messages of the item's
+  annotators and the class's frequency;
 - annotator to item: the weight of the answer, as a log-likelihood ratio, from the annotator's reliability on all other
   items. A first phase takes one rate of right answers per annotator and no class frequency, which tells careful from
   careless and contrary annotators. From there the second phase takes a rate where the class holds and one where it
   doesn't, per annotator and field, which also finds those who always give the same answer; few answers are drawn
   towards the annotator's rate over all fields, and that towards 0.7.
-The label is the sign of the sum of all messages of an item. Own messages are taken out on both sides, so an answer
-doesn't confirm itself.
+The label is the sign of the sum of all messages of an item. An item's own share is taken out of the reliability sent
+to it, so an answer doesn't confirm itself.
 
 Of an annotator's submissions for an item the one with the latest time counts, as a whole (null times count as the
 earliest, ties go to the largest answers). Defined cases: answers that are neither yes nor no are no edges; an item's
@@ -97,8 +97,8 @@ class Consensus:
         e = e.select("item", "field", "annotator", "y", "frequency", r1.alias("r1"), r0.alias("r0"))
         e = e.withColumn("w", F.when(F.col("y") == 1, F.log(F.col("r1") / (1 - F.col("r0")))).otherwise(F.log((1 - F.col("r1")) / F.col("r0"))))
         sums = e.groupBy("item", "field").agg(F.sum("w").alias("s"), F.max(F.log(F.col("frequency") / (1 - F.col("frequency")))).alias("base"), F.count("*").alias("n"), F.sum("y").alias("yes"))
-        new = e.select("item", "field", "annotator", "y", "w").join(sums.select("item", "field", "s", "base"), ["item", "field"])
-        new = new.select("item", "field", "annotator", "y", (1 / (1 + F.exp(-(F.col("base") + F.col("s") - F.col("w"))))).alias("p"))
+        new = e.select("item", "field", "annotator", "y").join(sums.select("item", "field", "s", "base"), ["item", "field"])
+        new = new.select("item", "field", "annotator", "y", (1 / (1 + F.exp(-(F.col("base") + F.col("s"))))).alias("p"))
         return new, sums
 
     def labels(self) -> DataFrame:
