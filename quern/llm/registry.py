@@ -9,6 +9,7 @@ from quern.llm.encode import encode_texts
 from quern.llm.formatting import Copies
 from quern.llm.mix import mix
 from quern.llm.neardup import NearDuplicates
+from quern.llm.pairs import broken_pairs
 from quern.llm.split import oversized, split_texts
 from quern.runtime import table
 
@@ -28,6 +29,16 @@ def p1_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).contents()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(table(spark, sf_dir, "responses"))
+
+
+def p2_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects by type and model spelling."""
+    defects = p2_found(spark, sf_dir)
+    return table(spark, sf_dir, "responses").select("response_id", "model_name").join(defects, "response_id").groupBy("model_name", "defect").agg(F.count("*").alias("n"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return NearDuplicates(table(spark, sf_dir, "reconciled_actionables"), "row_id", TEXTS, threshold=0.7)
 
@@ -78,7 +89,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_contents, p4_found, p4_groups, p5_found, p5_agreement, p5_reliability, p6_ids, p7_mixture, p7_shares, p8_found, p8_pieces)
+    for f in (p1_found, p1_contents, p2_found, p2_defect_counts, p4_found, p4_groups, p5_found, p5_agreement, p5_reliability, p6_ids, p7_mixture, p7_shares, p8_found, p8_pieces)
 }
 
 _CONTENTS = r"""
