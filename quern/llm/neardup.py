@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from quern import runtime
 
 _BUCKETS = 1 << 20
+#: Crowded shards up to which their list (12 bytes each) is broadcast; beyond, it is joined by shuffle.
+MAX_BROADCAST = 200_000
 _U = np.uint64
 
 
@@ -208,15 +210,21 @@ class NearDuplicates:
         sharded = runtime.cut(self.sets.mapInArrow(keys, "key long, uid long, n int, s0 long, s1 long"))
         # shards above the limit: at most (all keys) / limit of them
         hot = sharded.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
-        part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
-        hot_rows = sharded.join(hot, "key").withColumn("own", part)
-        # part i meets part j for i <= j: its rows are in the tree of (i, j) for j > i, ask in (j, i) for j < i, and do both in (i, i)
-        hot_rows = hot_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hot_rows = hot_rows.select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", "n", "s0", "s1",
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
-        )
-        rest = sharded.join(hot.select("key"), "key", "left_anti").select("key", "uid", "n", "s0", "s1", F.lit(0).cast("byte").alias("side"))
+        hot = runtime.cut(hot)
+        crowded = hot.count()
+        if crowded <= MAX_BROADCAST:
+            hot = F.broadcast(hot)
+        rest = sharded.withColumn("side", F.lit(0).cast("byte"))
+        if crowded:
+            part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
+            hot_rows = sharded.join(hot, "key").withColumn("own", part)
+            # part i meets part j for i <= j: its rows are in the tree of (i, j) for j > i, ask in (j, i) for j < i, and do both in (i, i)
+            hot_rows = hot_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            hot_rows = hot_rows.select(
+                F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", "n", "s0", "s1",
+                F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
+            )
+            rest = rest.join(hot, "key", "left_anti").unionByName(hot_rows)
         shards = max(runtime.slices(self.spark), 12)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +253,7 @@ class NearDuplicates:
             if held is not None:
                 yield from run(held)
 
-        found = rest.unionByName(hot_rows).repartition(shards, "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
+        found = rest.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
         sets = self.sets
         shared = F.size(F.array_intersect("wa", "wb"))
         checked = (
