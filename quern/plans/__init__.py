@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import unpacking
+from quern.plans import unpacking, voting
 
-_MODULES = (unpacking,)
+_MODULES = (voting, unpacking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
