@@ -77,7 +77,7 @@ def rescale(c: Column, low: float, high: float) -> Column:
 
 def first_title(c: Column) -> Column:
     """The first level-one heading, or ''."""
-    return F.regexp_extract(c, r"(?m)^# (.+)", 1)
+    return F.regexp_extract(c, r"(?m)^# ([^\n]+)", 1)
 
 
 def first_link(c: Column) -> Column:
@@ -85,7 +85,7 @@ def first_link(c: Column) -> Column:
 
 
 def all_titles(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?m)^# (.+)"), 1)
+    return F.regexp_extract_all(c, F.lit(r"(?m)^# ([^\n]+)"), 1)
 
 
 def all_links(c: Column) -> Column:

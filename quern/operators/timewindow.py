@@ -31,7 +31,7 @@ def importance(features: Column) -> Column:
 
 def feature_list(features: Column) -> Column:
     """The parts between commas."""
-    return F.filter(F.transform(F.split(F.coalesce(features, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(features, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def recommend(low: DataFrame, actionables: DataFrame, id_col: str, features: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import unpacking, voting
+from quern.plans import records, texts, unpacking, voting
 
-_MODULES = (voting, unpacking)
+_MODULES = (voting, texts, records, unpacking)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unpacking.p3_found(spark, sf_dir)
+    return records.cluster_reconcile(spark, sf_dir)

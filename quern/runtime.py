@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="quern-shared-")
-        atexit.register(shutil.rmtree, named, True)
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="quern-shared-")
+        _own["dir"] = named
     return named.rstrip("/")
 
 
+def _clear() -> None:
+    """Removes the tables this process wrote, where the shared folder is mounted here."""
+    for path in _written:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    if _own.get("dir"):
+        shutil.rmtree(_own["dir"], ignore_errors=True)
+
+
+atexit.register(_clear)
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
