@@ -105,10 +105,10 @@ WITH w AS (
   SELECT row_id, list_distinct(regexp_extract_all(lower(concat_ws(' ', actionable, impact, evidence)), '[\p{L}\p{N}]+')) AS s
   FROM reconciled_actionables),
 p AS (SELECT row_id, len(s) AS n, unnest(s) AS word FROM w),
-both AS (
+met AS (
   SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
   FROM p a JOIN p b ON a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2)
-SELECT row_id_a, row_id_b FROM both WHERE shared * 10 >= 7 * (na + nb - shared)
+SELECT row_id_a, row_id_b FROM met WHERE shared * 10 >= 7 * (na + nb - shared)
 """
 ORACLES: dict[str, str] = {
     "p1_found": _CONTENTS + "SELECT keep_id, row_id FROM c JOIN g USING (k) WHERE row_id <> keep_id",
