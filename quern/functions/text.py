@@ -61,6 +61,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1."""
+    n = norm(a)
+    return F.transform(a, lambda x: F.try_divide(x.cast("double"), n))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Not below 0."""
     return F.greatest(F.lit(0.0), F.try_divide(dot(a, b), norm(a) * norm(b)))

@@ -79,10 +79,10 @@ def builtin_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of one label's neighbourhood: labels differ by at most one, ids by a multiple of five."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("slot"), "embedding")
-    a, b = (e.select("slot", *[F.col(c).alias(f"{c}_{k}") for c in ("vec_id", "label", "embedding")]) for k in "ab")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("slot"), X.norm(F.col("embedding")).alias("n"), "embedding")
+    a, b = (e.select("slot", *[F.col(c).alias(f"{c}_{k}") for c in ("vec_id", "label", "n", "embedding")]) for k in "ab")
     pairs = a.join(b, "slot").where("vec_id_a < vec_id_b and abs(label_a - label_b) <= 1")
-    return pairs.select(F.when(F.col("vec_id_a") % 2 == 0, "even").otherwise("odd").alias("benchmark"), F.round(X.cosine(F.col("embedding_a"), F.col("embedding_b")), 6).alias("sim"), (F.col("label_a") == F.col("label_b")).alias("same"))
+    return pairs.select(F.when(F.col("vec_id_a") % 2 == 0, "even").otherwise("odd").alias("benchmark"), F.round(F.greatest(F.lit(0.0), X.dot(F.col("embedding_a"), F.col("embedding_b")) / (F.col("n_a") * F.col("n_b"))), 6).alias("sim"), (F.col("label_a") == F.col("label_b")).alias("same"))
 
 
 def theta_calibration_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
