@@ -23,8 +23,10 @@ def collapse(c: Column) -> Column:
 def tokenise(c: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-case words of letters a-z and digits, without stopwords and one-character words; null gives none."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", " "), " ")
-    dropped = F.array(*[F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)])
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(dropped, w))
+    dropped = STOPWORDS if stopwords is None else stopwords
+    # one search in a text of all stopwords, and only for words short enough to be one
+    listing, longest = F.lit(" " + " ".join(dropped) + " "), max(map(len, dropped), default=0)
+    return F.filter(words, lambda w: (F.length(w) > 1) & ((F.length(w) > longest) | ~F.contains(listing, F.concat(F.lit(" "), w, F.lit(" ")))))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
