@@ -18,6 +18,7 @@ _written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,9 +53,9 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster, so that Python workers can import it."""
+    """Sends this package to the Python workers, which may run elsewhere or without this folder on their path."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="quern-ship-")
