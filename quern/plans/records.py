@@ -77,21 +77,21 @@ def builtin_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(coarse, fine, f1)], "coarse double, fine double, average_f1 double")
 
 
-def _vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors of one label's neighbourhood: labels differ by at most one, ids by a multiple of five."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("slot"), X.norm(F.col("embedding")).alias("n"), "embedding")
-    a, b = (e.select("slot", *[F.col(c).alias(f"{c}_{k}") for c in ("vec_id", "label", "n", "embedding")]) for k in "ab")
-    pairs = a.join(b, "slot").where("vec_id_a < vec_id_b and abs(label_a - label_b) <= 1")
-    return pairs.select(F.when(F.col("vec_id_a") % 2 == 0, "even").otherwise("odd").alias("benchmark"), F.round(F.greatest(F.lit(0.0), X.dot(F.col("embedding_a"), F.col("embedding_b")) / (F.col("n_a") * F.col("n_b"))), 6).alias("sim"), (F.col("label_a") == F.col("label_b")).alias("same"))
+def _vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the coarse grid over all pairs of vectors, vec_id_a < vec_id_b; the parity of vec_id_a is the benchmark."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), "label", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("benchmark"), F.col("embedding").alias("vector"))
+    grid = similarity.coarse_grid()
+    return similarity.theta_scores_of_counts(cut(similarity.vector_pair_counts(rows, grid)), grid)
 
 
 def theta_calibration_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = similarity.theta_scores(_vector_pairs(spark, sf_dir), similarity.coarse_grid())
+    s = _vector_scores(spark, sf_dir)
     return s.select("benchmark", "theta", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def theta_calibration_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.best_theta(similarity.theta_scores(_vector_pairs(spark, sf_dir), similarity.coarse_grid())).select("theta", F.round("average_f1", 6).alias("average_f1"))
+    return similarity.best_theta(_vector_scores(spark, sf_dir)).select("theta", F.round("average_f1", 6).alias("average_f1"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
