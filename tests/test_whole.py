@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quern.llm.pairs import broken_pairs, judge
 from quern.operators import similarity
 from quern.plans import records
 
@@ -36,3 +37,27 @@ def test_calibration_counts_all_pairs_of_vectors(spark, tmp_path):
     rows = spark.createDataFrame([(i, l, "x", v) for i, l, v in stored], "id long, label int, benchmark string, vector array<float>")
     counts = [{(r.k, r.pos, r.neg) for r in similarity.vector_pair_counts(rows, [0.2, 0.5], block=b).groupBy("k").agg({"pos": "sum", "neg": "sum"}).toDF("k", *c).select("k", "pos", "neg").collect()} for b, c in ((4096, ("pos", "neg")), (7, ("pos", "neg")))]
     assert counts[0] == counts[1]
+
+
+LONG = "I am sorry about this request.\nI can't help with the passage, since " + "it holds material of a kind that the service leaves alone and " * 6 + "that stays so.\nI would be glad to read another one with you."
+EVIDENCE = "{'recommendations': [{'recommendation': 'Split the large modules.', 'positive_impact': 'Reviews are faster.', 'evidence': \"I can't review files of this size, said a maintainer.\"}]}"
+
+
+@pytest.mark.parametrize("answer,refuses", [
+    (LONG, True),
+    ("{'message': \"I can't help with that.\", 'error': 'It is against policy.'}", True),
+    ("{'message': 'The request was read.', 'error': \"I can't help with that.\"}", True),
+    ("{'recommendations': [{'recommendation': 'I must decline to answer.', 'positive_impact': 'No one is harmed by it.', 'evidence': 'The passage.'}]}", True),
+    ("1. I can't help with that.\n2. Ask someone else.", True),
+    (EVIDENCE, False),
+    ("1. Split the modules.\n2. Say in the guide: I will not merge without tests.", False),
+    ("Split the large modules.\n" + "Name an owner for each of the modules and keep the list of owners in the repository.\n" * 8, False),
+])
+def test_refusals_of_any_length_and_number_of_texts(answer, refuses):
+    defect, opening, declines = judge("", answer, 0.6)
+    assert opening and declines is refuses
+
+
+def test_long_refusals_come_out(spark):
+    df = spark.createDataFrame([(1, "a prompt of some words", LONG), (2, "another prompt of words", EVIDENCE)], "response_id long, prompt string, answer string")
+    assert [tuple(r) for r in broken_pairs(df).collect()] == [(1, "refusal")]
