@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from quern.llm.pairs import broken_pairs, judge
+from quern.llm.neardup import minhash_keys
+from quern.llm.pairs import _hashes, _verified, band_links, broken_pairs, judge
 from quern.operators import similarity
 from quern.plans import records
 
@@ -61,3 +63,41 @@ def test_refusals_of_any_length_and_number_of_texts(answer, refuses):
 def test_long_refusals_come_out(spark):
     df = spark.createDataFrame([(1, "a prompt of some words", LONG), (2, "another prompt of words", EVIDENCE)], "response_id long, prompt string, answer string")
     assert [tuple(r) for r in broken_pairs(df).collect()] == [(1, "refusal")]
+
+
+def _clusters(pairs):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[max(top(x), top(y))] = min(top(x), top(y))
+    return {x: top(x) for x in root}
+
+
+@pytest.mark.parametrize("crowd", [4096, 100])
+def test_crowded_bands_lose_no_link(spark, crowd):
+    rng = random.Random(8)
+    lead = " ".join(f"lead{k}" for k in range(14))
+    openings = [f"{lead} a{i} b{i}" for i in range(500)]  # similarity 10/14 to one another
+    openings += [f"{lead} a{i} c{i}" for i in range(60)]  # 11/13 to the opening of the same a
+    openings += [f"{lead} t x{i}" for i in range(150)]  # a template, 11/13 to one another
+    rng.shuffle(openings)
+    offsets, values = _hashes(openings)
+    sets = [set(values[offsets[k] : offsets[k + 1]].tolist()) for k in range(len(openings))]
+    key = minhash_keys(offsets, values, 12, 3).view(np.int64)
+    meet = {}
+    for k in range(len(openings)):
+        for x in key[k].tolist():
+            meet.setdefault(x, []).append(k)
+    pairs = {(x, y) for m in meet.values() for n, x in enumerate(m) for y in m[n + 1 :]}
+    expected = _clusters((x, y) for x, y in pairs if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]))
+    assert len(expected) > 260
+    banded = spark.createDataFrame([(x, k, values[offsets[k] : offsets[k + 1]].view(np.int64).tolist()) for k in range(len(openings)) for x in key[k].tolist()], "key long, oid long, s array<long>").repartition(3)
+    found = [tuple(r) for r in _verified(banded, 0.8, crowd).collect()]
+    assert all(len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) for x, y in found)
+    assert _clusters(found) == expected
+    assert band_links(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([0, 1]), np.ones(1, np.uint64), 0.8).shape == (0, 2)
