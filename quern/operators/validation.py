@@ -54,6 +54,21 @@ def two_annotators(answers: DataFrame, fields: list[str], item: str = "item_id",
     return both.where("b is not null")
 
 
+def annotator_pairs(answers: DataFrame, fields: list[str], item: str = "item_id", annotator: str = "annotator_id") -> DataFrame:
+    """(item, r, field, a, b) of every two annotators of an item, a before b by name; r is a's place among the item's."""
+    ranked = answers.withColumn("r", F.row_number().over(Window.partitionBy(item).orderBy(annotator)))
+    long = ranked.select(item, "r", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("x")).select(item, "r", "x.*")
+    other = long.select(item, "field", F.col("r").alias("s"), F.col("v").alias("b"))
+    return long.join(other, [item, "field"]).where("r < s").select(item, "r", "field", F.col("v").alias("a"), "b")
+
+
+def combined(pairs: DataFrame, item: str = "item_id") -> DataFrame:
+    """(item, field, a, b) from annotator_pairs: a is the first annotator's value, b is NO if anyone says NO, else a's."""
+    no = F.bool_or((F.col("a") == "NO") | (F.col("b") == "NO"))
+    one = pairs.groupBy(item, "field").agg(F.min_by("a", "r").alias("a"), no.alias("_no"))
+    return one.select(item, "field", "a", F.when(F.col("_no"), "NO").otherwise(F.col("a")).alias("b"))
+
+
 def disagreements(pairs: DataFrame, lead: str, item: str = "item_id") -> DataFrame:
     """All fields of the items in which any field differs and annotator a answered the lead field."""
     worth = pairs.groupBy(item).agg(F.bool_or(F.col("a") != F.col("b")).alias("differ"), F.bool_or((F.col("field") == lead) & (F.col("a") != "")).alias("answered")).where("differ and answered")

@@ -118,18 +118,26 @@ def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.two_annotators(_answers(spark, sf_dir), _FIELDS)
 
 
+def _every_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.annotator_pairs(_answers(spark, sf_dir), _FIELDS)
+
+
 def kappa_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohen's kappa, which is of two annotators: the first two by name of each item."""
     k = metrics.kappa(_two(spark, sf_dir), ["field"], "a", "b")
     k = k.select("field", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
     return k.withColumn("reading", X.interpret_kappa(F.col("kappa")))
 
 
 def disagreement_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.disagreements(_two(spark, sf_dir), "actionable_valid")
+    """All fields of the items in dispute, for every two annotators of an item."""
+    return validation.disagreements(_every_two(spark, sf_dir), "actionable_valid").drop("r")
 
 
 def conservative_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.resolve(disagreement_worklist(spark, sf_dir)).select("item_id", "field", "resolved", F.col("flagged").cast("long").alias("flagged"))
+    """One value for each item and field in dispute: NO if any annotator says NO, else the first's by name."""
+    sheet = validation.combined(validation.disagreements(_every_two(spark, sf_dir), "actionable_valid")).withColumn("final", F.lit(""))
+    return validation.resolve(sheet).select("item_id", "field", "resolved", F.col("flagged").cast("long").alias("flagged"))
 
 
 def composite_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +190,7 @@ def blinded_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotator a's answers, replaced by the resolved ones of items in dispute."""
+    """The first annotator's answers, replaced by the resolved ones of items in dispute between any two annotators."""
     first = _two(spark, sf_dir).select("item_id", "field", F.col("a").alias("value"))
     second = conservative_resolution(spark, sf_dir).select("item_id", "field", F.col("resolved").alias("value"))
     return validation.override(first, second, ["item_id", "field"])

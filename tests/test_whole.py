@@ -1,6 +1,7 @@
 """The whole job of queries, against brute force on small tables."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -101,3 +102,17 @@ def test_crowded_bands_lose_no_link(spark, crowd):
     assert all(len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) for x, y in found)
     assert _clusters(found) == expected
     assert band_links(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([0, 1]), np.ones(1, np.uint64), 0.8).shape == (0, 2)
+
+
+def test_third_annotators_count(spark, tmp_path):
+    fields = records._FIELDS
+    say = lambda item, who, **x: (item, who, datetime(2025, 1, 1), *[x.get(f, "YES") for f in fields])
+    rows = [say("i", "A"), say("i", "B"), say("i", "C", sound_valid="NO"), say("j", "A"), say("j", "B"), say("j", "C"), say("k", "A"), say("l", "A", precise_valid="N/A"), say("l", "B", precise_valid="")]
+    spark.createDataFrame(rows, "item_id string, annotator_id string, submitted_at timestamp, " + ", ".join(f"{f} string" for f in fields)).write.parquet(f"{tmp_path}/react_validation.parquet")
+    work = records.disagreement_worklist(spark, str(tmp_path))
+    assert work.columns == ["item_id", "field", "a", "b", "final"]
+    assert sorted((r.item_id, r.a, r.b) for r in work.where("field = 'sound_valid'").collect()) == [("i", "YES", "NO"), ("i", "YES", "NO"), ("i", "YES", "YES"), ("l", "YES", "YES")]
+    resolved = {(r.item_id, r.field): r.resolved for r in records.conservative_resolution(spark, str(tmp_path)).collect()}
+    assert len(resolved) == 2 * len(fields) and resolved["i", "sound_valid"] == "NO" and resolved["i", "precise_valid"] == "YES" and resolved["l", "precise_valid"] == "N/A"
+    truth = {(r.item_id, r.field): r.value for r in records.ground_truth(spark, str(tmp_path)).collect()}
+    assert len(truth) == 3 * len(fields) and truth["i", "sound_valid"] == "NO" and truth["j", "sound_valid"] == "YES"
