@@ -8,7 +8,7 @@ import pytest
 
 from quern.llm.neardup import minhash_keys
 from quern.llm.pairs import _hashes, _verified, band_links, broken_pairs, judge
-from quern.operators import similarity
+from quern.operators import graph, similarity
 from quern.plans import records
 
 
@@ -116,3 +116,11 @@ def test_third_annotators_count(spark, tmp_path):
     assert len(resolved) == 2 * len(fields) and resolved["i", "sound_valid"] == "NO" and resolved["i", "precise_valid"] == "YES" and resolved["l", "precise_valid"] == "N/A"
     truth = {(r.item_id, r.field): r.value for r in records.ground_truth(spark, str(tmp_path)).collect()}
     assert len(truth) == 3 * len(fields) and truth["i", "sound_valid"] == "NO" and truth["j", "sound_valid"] == "YES"
+
+
+def test_rows_without_model_are_paired(spark):
+    rows = [("g", 0, "split the large modules", None), ("g", 1, "split the large modules now", None), ("g", 2, "split the large modules", "m"), ("g", 3, "split the large modules", "m")]
+    grams = similarity.grams(spark.createDataFrame(rows, "g string, i long, t string, m string"), "g", "i", "t", ["m"])
+    whole = {(r.i, r.j): r.sim for r in similarity.similar_pairs(grams, "m").collect()}
+    some = {(r.i, r.j): r.sim for r in similarity.similar_pairs(grams, "m", 0.3).collect()}
+    assert some == pytest.approx({k: v for k, v in whole.items() if v > 0.3}) and (0, 1) in some and (2, 3) not in some
