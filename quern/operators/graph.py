@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions import text as X
+from quern.runtime import cut
 from quern.schema import CATEGORIES
 
 
@@ -91,15 +92,22 @@ def keyword_search(df: DataFrame, text: str, raw: str) -> DataFrame:
     return df.withColumn("score", keyword_score(F.col(text), parse_query(raw))).where("score > 0")
 
 
-def semantic_search(nodes: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 10, least: float = 0.30) -> DataFrame:
+def semantic_search(nodes: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 10, least: float = 0.30, block: int = 1000) -> DataFrame:
     """The k nodes most similar to each query (query_id, query_vector) at `least` similarity or more, ties by id. Queries
-    are few, and their number is checked; each partition keeps k of a query before anything is shuffled."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("semantic_search takes at most 1000 queries at once")
-    scored = nodes.select(id_col, vector).join(F.broadcast(queries)).withColumn("similarity", F.round(X.cosine(F.col(vector), F.col("query_vector")), 6)).where(F.col("similarity") >= least)
-    # top-k by row_number, which the planner limits per partition before the shuffle
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
-    return scored.select("query_id", id_col, "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+    meet all nodes in blocks of about `block`, each written to the shared folder where there are several; each partition
+    keeps k of a query before anything is shuffled."""
+
+    def found(some: DataFrame) -> DataFrame:
+        scored = nodes.select(id_col, vector).join(F.broadcast(some)).withColumn("similarity", F.round(X.cosine(F.col(vector), F.col("query_vector")), 6)).where(F.col("similarity") >= least)
+        # top-k by row_number, which the planner limits per partition before the shuffle
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
+        return scored.select("query_id", id_col, "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return found(queries)
+    dealt = cut(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    return reduce(DataFrame.unionByName, [cut(found(dealt.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)])
 
 
 def best_by_category(e: DataFrame, scores: DataFrame, passing: DataFrame | None = None) -> DataFrame:

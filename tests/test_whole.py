@@ -124,3 +124,13 @@ def test_rows_without_model_are_paired(spark):
     whole = {(r.i, r.j): r.sim for r in similarity.similar_pairs(grams, "m").collect()}
     some = {(r.i, r.j): r.sim for r in similarity.similar_pairs(grams, "m", 0.3).collect()}
     assert some == pytest.approx({k: v for k, v in whole.items() if v > 0.3}) and (0, 1) in some and (2, 3) not in some
+
+
+def test_search_takes_any_number_of_queries(spark):
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)], "id long, v array<double>")
+    queries = nodes.where("id < 10").selectExpr("id as query_id", "v as query_vector")
+    whole, parts = ({tuple(r) for r in graph.semantic_search(nodes, queries, "id", "v", 3, 0.1, block=b).collect()} for b in (1000, 3))
+    assert whole == parts and {q for q, *_ in parts} == set(range(10))
+    many = spark.range(1001).selectExpr("id as query_id", "array(1D, cast(id as double)) as query_vector")
+    assert graph.semantic_search(nodes.limit(0).selectExpr("id", "v").union(spark.sql("select 1L, array(1D, 1D)")), many, "id", "v", 1, 0.1).count() == 1001
