@@ -4,8 +4,9 @@
 2. A representative gets a sketch of 128 bits: each word flips one bit. The Hamming distance of two sketches never
    exceeds the number of words in which the sets differ, so a similarity of t bounds it by (1-t)/(1+t) * (|A|+|B|).
 3. Representatives are dealt into shards by what near duplicates share: each rare word (its hash bucket, one of
-   2^20, has at most `rare` uses, which fewer buckets have the larger the table is), and each of `bands` bands of `rows` MinHashes. A shard above `shard_rows` is split into parts, and the tree of each
-   part meets the queries of each part.
+   2^20, has at most `rare` uses, which fewer buckets have the larger the table is), and each of
+   `bands` bands of `rows` MinHashes. A shard above `shard_rows` is split into parts, and the tree of each part meets the
+   queries of each part.
 4. Each shard's sketches become a BK-tree: children are keyed by their integer Hamming distance to the parent, and a
    search follows only edges within the radius (triangle inequality), so within a shard no pair is lost. The trees of
    all shards of a task are built and searched together, level by level, on arrays.
