@@ -134,3 +134,20 @@ def test_search_takes_any_number_of_queries(spark):
     assert whole == parts and {q for q, *_ in parts} == set(range(10))
     many = spark.range(1001).selectExpr("id as query_id", "array(1D, cast(id as double)) as query_vector")
     assert graph.semantic_search(nodes.limit(0).selectExpr("id", "v").union(spark.sql("select 1L, array(1D, 1D)")), many, "id", "v", 1, 0.1).count() == 1001
+
+
+@pytest.mark.parametrize("prompt,answer,defect", [
+    ("List every step for the project.", "Проверяйте скрипты.", "language"),
+    ("List every step for the project.", "راجع البرامج.", "language"),
+    ("List every step for the project.", "스크립트를 검토하세요.", "language"),
+    ("List every step for the project.", "スクリプトを確認してください。", "language"),
+    ("列出项目的所有步骤。", "スクリプトを確認してください。", "language"),
+    ("Перечислите все шаги проекта.", "Review every build script before each release.", "language"),
+    ("Перечислите все шаги проекта.", "Проверяйте README.md и CONTRIBUTING.", None),
+    ("Перечислите все шаги проекта.", "README.md", None),
+    ("列出项目的所有步骤。", "检查脚本。", None),
+    ("List every step for the project.", "Name André and Zoë owners (α, β).", None),
+])
+def test_scripts_tell_languages(prompt, answer, defect):
+    found = judge(prompt, answer, 0.6)[0]
+    assert found == defect
