@@ -1,19 +1,20 @@
 """Near-duplicate records: groups of records whose word sets overlap by a threshold of Jaccard similarity.
 
 1. Records with the same word set form a class; one representative each goes on (copies are never compared).
-2. A representative gets a sketch of 128 bits: each word flips one bit. The Hamming distance of two sketches never
+2. A representative gets a sketch of 112 bits: each word flips one bit. The Hamming distance of two sketches never
    exceeds the number of words in which the sets differ, so a similarity of t bounds it by (1-t)/(1+t) * (|A|+|B|).
-3. Representatives are dealt into shards by what near duplicates share: each rare word (its hash bucket, one of
-   2^20, has at most `rare` uses, which fewer buckets have the larger the table is), and each of
-   `bands` bands of `rows` MinHashes. A shard above `shard_rows` is split into parts, and the tree of each part meets the
-   queries of each part.
+3. Representatives are dealt into shards by bands of MinHashes. A band has `rows` MinHashes, four up to four million
+   classes and one more for each tenfold, so that what unrelated records share by chance stays a few; there are as many bands
+   as let a pair at the threshold share none with a probability of `miss` at most, whatever the size.
+   A band that more than `shard_rows` representatives share is crowded: its members are dealt on by a second set of
+   bands among themselves. What is still crowded then is split into parts, and the tree of each part meets the queries
+   of each part.
 4. Each shard's sketches become a BK-tree: children are keyed by their integer Hamming distance to the parent, and a
    search follows only edges within the radius (triangle inequality), so within a shard no pair is lost. The trees of
    all shards of a task are built and searched together, level by level, on arrays.
 5. Pairs found are verified on the word sets themselves.
 
-No cap on candidates. A pair of similarity s without a common rare word shares a band with probability
-1-(1-s^rows)^bands: at 40 bands of 5, 0.9994 at s = 0.7 and above 0.999999 from 0.8 on.
+No cap on candidates. Which bands are crowded is told from every 16th representative; it decides only how work is dealt.
 
 Defined cases: null fields count as empty; records without any word are in no pair and in groups of their own; rows
 with a null id are left out; a repeated id stands for each of its rows, and is never paired with itself.
@@ -21,7 +22,9 @@ with a null id are left out; a repeated id stands for each of its rows, and is n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from quern import runtime
 
-_BUCKETS = 1 << 20
-#: Crowded shards up to which their list (12 bytes each) is broadcast; beyond, it is joined by shuffle.
-MAX_BROADCAST = 200_000
+_BITS, _N_SHIFT = 112, 48  # a sketch fills two numbers but for 16 bits, which hold the size of the set
+#: Crowded bands up to which they are broadcast (8 bytes each); beyond, they are split without a second set of bands.
+MAX_BROADCAST = 2_000_000
+#: Rows of a class from which its number is broadcast to them, and rows of a class that meet in a task.
+_HEAVY, _TOGETHER = 100_000, 2048
 _U = np.uint64
 
 
@@ -59,16 +64,17 @@ def word_sets(df: DataFrame, fields: list[str]) -> "F.Column":
 
 
 def sketches(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """128 bits a record, as two 64-bit numbers."""
+    """112 bits a record, as two 64-bit numbers; the highest 16 of the second are 0."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
-    bits = np.bincount(row * 128 + (_mix(values, 1) >> _U(57)).astype(np.int64), minlength=n * 128).astype(np.uint8) & 1
+    bit = ((_mix(values, 1) >> _U(32)) * _U(_BITS) >> _U(32)).astype(np.int64)
+    bits = np.bincount(row * 128 + bit, minlength=n * 128).astype(np.uint8) & 1
     return np.packbits(bits.reshape(n, 128), axis=1).view(np.uint64).reshape(n, 2)
 
 
-def minhash_keys(offsets: np.ndarray, values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def minhash_keys(offsets: np.ndarray, values: np.ndarray, bands: int, rows: int, seed: int = 20) -> np.ndarray:
     """One key a record and band; records must not be empty."""
-    n, rng = len(offsets) - 1, np.random.default_rng(20)
+    n, rng = len(offsets) - 1, np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 63, size=(bands, rows), dtype=np.uint64) * _U(2) + _U(1)
     shifts = rng.integers(0, 1 << 63, size=(bands, rows), dtype=np.uint64)
     base, keys, starts = _mix(values, 2), np.zeros((n, bands), np.uint64), offsets[:-1]
@@ -81,6 +87,12 @@ def minhash_keys(offsets: np.ndarray, values: np.ndarray, bands: int, rows: int)
     return keys
 
 
+def banding(classes: int, threshold: float, miss: float) -> tuple[int, int]:
+    """(bands, MinHashes a band) for a number of classes; a pair at the threshold shares no band with at most `miss`."""
+    rows = 4 + max(0, math.ceil(math.log10(max(classes, 1) / 4e6)))
+    return (1 if threshold == 1 else math.ceil(math.log(miss) / math.log(1 - threshold**rows))), rows
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[:, 0] ^ b[:, 0]).astype(np.int64) + np.bitwise_count(a[:, 1] ^ b[:, 1])
 
@@ -156,95 +168,103 @@ def near_pairs(key: np.ndarray, side: np.ndarray, uid: np.ndarray, size: np.ndar
 
 
 class NearDuplicates:
-    """The stages of the operator; members: (row id, uid) of each row's class, links: pairs of classes."""
+    """The stages of the operator; members: (id, cid, n) of each row's class, sets: (uid, words, n) of each class, links:
+    pairs of classes."""
 
-    def __init__(self, df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, bands: int = 40, rows: int = 5, rare: int = 128, shard_rows: int = 4096) -> None:
+    def __init__(self, df: DataFrame, id_col: str, fields: list[str], threshold: float = 0.8, miss: float = 5e-4, shard_rows: int = 4096) -> None:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
         runtime.ship(df.sparkSession)
-        self.spark, self.id_col, self.threshold = df.sparkSession, id_col, threshold
-        self.bands, self.rows, self.rare, self.shard_rows = bands, rows, rare, shard_rows
+        self.spark, self.id_col, self.threshold, self.shard_rows = df.sparkSession, id_col, threshold, shard_rows
         base = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), word_sets(df, fields).alias("words"))
         base = base.select(F.monotonically_increasing_id().alias("uid"), "id", "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), F.reverse("words")).alias("k2"))
         base = runtime.cut(base)
-        classes = base.groupBy("k1", "k2").agg(F.min("uid").alias("cid"))
-        self.members = runtime.cut(base.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "cid"))
-        self.sets = runtime.cut(base.where(F.size("words") > 0).select("uid", "words").join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi"))
+        classes = runtime.cut(base.groupBy("k1", "k2").agg(F.min("uid").alias("cid"), F.count("*").alias("n")))
+        keyed = base.select("id", "k1", "k2")
+        # the rows of a much repeated text stay where they are: at most rows / _HEAVY classes are broadcast to them
+        heavy, light = classes.where(F.col("n") >= _HEAVY), classes.where(F.col("n") < _HEAVY)
+        members = keyed.join(light, ["k1", "k2"])
+        if heavy.limit(1).count():
+            members = keyed.join(F.broadcast(heavy.select("k1", "k2")), ["k1", "k2"], "left_anti").join(light, ["k1", "k2"]).unionByName(keyed.join(F.broadcast(heavy), ["k1", "k2"]))
+        self.members = runtime.cut(members.select("id", "cid", "n"))
+        self.sets = runtime.cut(base.where(F.size("words") > 0).select("uid", "words").join(classes.select(F.col("cid").alias("uid"), "n"), "uid"))
+        self.bands, self.rows = banding(self.sets.count(), threshold, miss)
         self.links = runtime.cut(self._links())
 
-    def _common(self) -> np.ndarray:
-        """A bitmap over 2^20 buckets of words: set where the words of a bucket have more than `rare` uses."""
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(_BUCKETS, np.int64)
-            for b in batches:
-                total += np.bincount((_lists(b.column(0))[1] & _U(_BUCKETS - 1)).astype(np.int64), minlength=_BUCKETS)
-            used = np.flatnonzero(total)
-            for i in range(0, len(used), 100_000):
-                part = used[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
-
-        counts = self.sets.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        bitmap = np.zeros(_BUCKETS, bool)
-        bitmap[[r[0] for r in counts.where(F.col("n") > self.rare).select("bucket").collect()]] = True  # at most 2^20
-        return np.packbits(bitmap)
-
-    def _links(self) -> DataFrame:
-        common = self.spark.sparkContext.broadcast(self._common())
-        bands, rows, threshold, limit = self.bands, self.rows, self.threshold, self.shard_rows
+    def _keyed(self, sets: DataFrame, crowded: np.ndarray) -> DataFrame:
+        """(key, uid, s0, s1) of each representative and band; in crowded bands, of each of the second set of bands."""
+        bands, rows = self.bands, self.rows
+        crowded = self.spark.sparkContext.broadcast(crowded)
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = np.unpackbits(common.value).astype(bool)
+            split = crowded.value
             for whole in batches:
                 for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                     offsets, values = _lists(b.column(1))
-                    uid, size = b.column(0).to_numpy(), np.diff(offsets)
-                    sketch = sketches(offsets, values)
-                    row = np.repeat(np.arange(len(uid)), size)
-                    rare = ~bitmap[(values & _U(_BUCKETS - 1)).astype(np.int64)]
-                    banded = minhash_keys(offsets, values, bands, rows)
-                    key = np.concatenate((_mix(values[rare], 4), banded.ravel())).view(np.int64)
-                    at = np.concatenate((row[rare], np.repeat(np.arange(len(uid)), bands)))
-                    parts = [key, uid[at], size[at].astype(np.int32), sketch[at, 0].view(np.int64), sketch[at, 1].view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["key", "uid", "n", "s0", "s1"])
-
-        sharded = runtime.cut(self.sets.mapInArrow(keys, "key long, uid long, n int, s0 long, s1 long"))
-        # shards above the limit: at most (all keys) / limit of them
-        hot = sharded.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
-        hot = runtime.cut(hot)
-        crowded = hot.count()
-        if crowded <= MAX_BROADCAST:
-            hot = F.broadcast(hot)
+                    uid, sketch = b.column(0).to_numpy(), sketches(offsets, values)
+                    sketch[:, 1] |= np.minimum(np.diff(offsets), 65535).astype(np.uint64) << _U(_N_SHIFT)
+                    key = minhash_keys(offsets, values, bands, rows).ravel()
+                    at = np.repeat(np.arange(len(uid)), bands)
+                    if len(split) and (hot := np.isin(key, split)).any():
+                        some, of = np.unique(at[hot], return_inverse=True)
+                        more = minhash_keys(offsets, values, bands, rows, 21)[some]
+                        key = np.concatenate((key[~hot], _mix(key[hot][:, None] ^ _mix(more[of], 5), 6).ravel()))
+                        at = np.concatenate((at[~hot], np.repeat(at[hot], bands)))
+                    parts = [key.view(np.int64), uid[at], sketch[at, 0].view(np.int64), sketch[at, 1].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["key", "uid", "s0", "s1"])
+
+        return sets.select("uid", "words").mapInArrow(keys, "key long, uid long, s0 long, s1 long")
+
+    def _crowded(self, crowded: np.ndarray) -> DataFrame:
+        """(key, parts) of the bands with more than about shard_rows representatives."""
+        every = max(1, min(16, self.shard_rows // 256))
+        some = self.sets if every == 1 else self.sets.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0)
+        counts = self._keyed(some, crowded).groupBy("key").agg(F.count("*").alias("c"))
+        return runtime.cut(counts.where(F.col("c") * every > self.shard_rows).select("key", F.ceil(F.col("c") * every / self.shard_rows).cast("int").alias("parts")))
+
+    def _links(self) -> DataFrame:
+        threshold = self.threshold
+        hot, split = self._crowded(np.zeros(0, np.uint64)), np.zeros(0, np.uint64)
+        n_hot = hot.count()
+        if 0 < n_hot <= MAX_BROADCAST:
+            split = np.sort(np.array([r["key"] for r in hot.select("key").collect()], np.int64).view(np.uint64))
+            hot = self._crowded(split)
+            n_hot = hot.count()
+        sharded = self._keyed(self.sets, split)
         rest = sharded.withColumn("side", F.lit(0).cast("byte"))
-        if crowded:
+        if n_hot:
+            hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST // 4 else hot
             part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
             hot_rows = sharded.join(hot, "key").withColumn("own", part)
             # part i meets part j for i <= j: its rows are in the tree of (i, j) for j > i, ask in (j, i) for j < i, and do both in (i, i)
             hot_rows = hot_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             hot_rows = hot_rows.select(
-                F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", "n", "s0", "s1",
+                F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", "s0", "s1",
                 F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
             )
             rest = rest.join(hot, "key", "left_anti").unionByName(hot_rows)
         shards = max(runtime.slices(self.spark), 12)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low = _U((1 << _N_SHIFT) - 1)
+
             def run(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-                key, uid, n, s0, s1, side = rows
+                key, uid, s0, s1, side = rows
                 keep = np.ones(len(key), bool)
                 if len(key) > 1:
                     same = key[1:] == key[:-1]
                     keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
                 if not keep.any():
                     return
-                sketch = np.stack((s0[keep].view(np.uint64), s1[keep].view(np.uint64)), axis=1)
-                for found in near_pairs(key[keep], side[keep], uid[keep], n[keep].astype(np.int64), sketch, threshold):
+                second = s1[keep].view(np.uint64)
+                sketch = np.stack((s0[keep].view(np.uint64), second & low), axis=1)
+                for found in near_pairs(key[keep], side[keep], uid[keep], (second >> _U(_N_SHIFT)).astype(np.int64), sketch, threshold):
                     for i in range(0, len(found), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 50_000, k]) for k in (0, 1)], names=["a", "b"])
 
             held: list[np.ndarray] | None = None
             for b in batches:
-                new = [b.column(i).to_numpy() for i in range(6)]
+                new = [b.column(i).to_numpy() for i in range(5)]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
                 if len(held[0]) < 60_000:
                     continue
@@ -255,23 +275,24 @@ class NearDuplicates:
                 yield from run(held)
 
         found = rest.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
-        sets = self.sets
-        shared = F.size(F.array_intersect("wa", "wb"))
-        checked = (
-            found.join(sets.select(F.col("uid").alias("a"), F.col("words").alias("wa")), "a")
-            .join(sets.select(F.col("uid").alias("b"), F.col("words").alias("wb")), "b")
-            .withColumn("both", shared)
-            .withColumn("either", F.size("wa") + F.size("wb") - F.col("both"))
-        )
-        # in whole thousandths, so that a pair exactly at the threshold is in
-        return checked.where(F.col("both") * 1000 >= F.col("either") * round(threshold * 1000)).select("a", "b", "both", "either")
+        side = lambda k: self.sets.select(F.col("uid").alias(k), F.col("words").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
+        checked = found.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb"))).withColumn("either", F.size("wa") + F.size("wb") - F.col("both"))
+        # in whole numbers, so that a pair exactly at the threshold is in
+        least = Fraction(str(threshold)).limit_denominator(10**6)
+        return checked.where(F.col("both").cast("long") * least.denominator >= F.col("either").cast("long") * least.numerator).select("a", "b", "na", "nb", "both", "either")
 
     def pairs(self) -> DataFrame:
-        """All pairs of rows (row_id_a, row_id_b), smaller first; copies are expanded, as each pair is a case."""
-        filled = self.members.join(self.sets.select(F.col("uid").alias("cid")), "cid", "left_semi")
-        left, right = (filled.select(F.col("id").alias(f"i{k}"), F.col("cid").alias(k)) for k in ("a", "b"))
-        within = left.join(right.withColumnRenamed("b", "a"), "a").where("ia < ib").select("ia", "ib")
-        across = self.links.select("a", "b").join(left, "a").join(right, "b").where("ia != ib").select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"))
+        """All pairs of rows (row_id_a, row_id_b), smaller first; copies are expanded, as each pair is a case. The rows of a
+        large class meet in parts of _TOGETHER."""
+        parts = lambda n: F.ceil(F.col(n) / _TOGETHER).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+        dealt = self.members.select("id", "cid", "n", F.pmod(F.xxhash64("id"), parts("n")).cast("int").alias("s"))
+        filled = dealt.where("n > 1").join(self.sets.where("n > 1").select(F.col("uid").alias("cid")), "cid", "left_semi")
+        left = filled.select("cid", F.col("id").alias("ia"), every("n").alias("s"))
+        within = left.join(filled.select("cid", "s", F.col("id").alias("ib")), ["cid", "s"]).where("ia < ib").select("ia", "ib")
+        side = lambda k: dealt.select(F.col("cid").alias(k), F.col("s").alias(f"s{k}"), F.col("id").alias(f"i{k}"))
+        links = self.links.select("a", "b", "nb", every("na").alias("sa")).join(side("a"), ["a", "sa"]).select("b", "ia", every("nb").alias("sb"))
+        across = links.join(side("b"), ["b", "sb"]).where("ia != ib").select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"))
         return within.unionByName(across).select(F.col("ia").alias(f"{self.id_col}_a"), F.col("ib").alias(f"{self.id_col}_b"))
 
     def groups(self) -> DataFrame:
@@ -279,10 +300,14 @@ class NearDuplicates:
         linked classes, and the number of other texts its own is linked with."""
         group = components(self.links.select("a", "b"))
         degree = self.links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-        classes = self.members.groupBy("cid").agg(F.min("id").alias("class_id"))
+        classes = self.members.groupBy("cid").agg(F.min("id").alias("class_id"), F.max("n").alias("n"))
         named = classes.join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(degree, "cid", "left")
         roots = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-        return self.members.join(named.join(roots, "root"), "cid").select(F.col("id").alias(self.id_col), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        named = runtime.cut(named.join(roots, "root").select("cid", "n", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+        heavy = F.broadcast(named.where(F.col("n") >= _HEAVY).drop("n"))  # at most rows / _HEAVY
+        light = self.members.where(F.col("n") < _HEAVY).select("id", "cid").join(named.where(F.col("n") < _HEAVY).drop("n"), "cid")
+        whole = light.unionByName(self.members.where(F.col("n") >= _HEAVY).select("id", "cid").join(heavy, "cid"))
+        return whole.select(F.col("id").alias(self.id_col), "class_id", "group_id", "n_links")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:

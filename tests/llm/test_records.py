@@ -95,7 +95,7 @@ def test_near_pairs_against_brute_force(spark, shard_rows, threshold):
     rows = edited(4, 500) + [(9000 + i, None, " ", "--") for i in range(5)] + [(None, "w1 w2", None, None)]
     sets = {r[0]: word_set(r) for r in rows if r[0] is not None}
     wanted = {(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
-    op = NearDuplicates(frame(spark, rows), "row_id", FIELDS, threshold, rare=20, shard_rows=shard_rows)
+    op = NearDuplicates(frame(spark, rows), "row_id", FIELDS, threshold, shard_rows=shard_rows)
     found = [(r.row_id_a, r.row_id_b) for r in op.pairs().collect()]
     assert len(found) == len(set(found)) and set(found) <= wanted
     assert len(wanted - set(found)) <= 0.002 * len(wanted)
