@@ -23,8 +23,10 @@ import regex
 #: Fixed value: the pre-token pattern that belongs to the public vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Entries at which a worker empties a cache; results don't depend on it.
-CACHE_ENTRIES = 1_000_000
+#: Bytes (about, with overheads) at which a worker empties a cache, and characters up to which a piece or pre-token is kept;
+#: results don't depend on them.
+CACHE_BYTES, CACHED_LENGTH = 96 << 20, 128
+_ENTRY = 200  # bytes of an entry's objects beside its characters and ids
 _BLANK_RUN, _CUT = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
 
 
@@ -34,14 +36,22 @@ def read_vocabulary(path: str) -> bytes:
 
 
 class Pieces(dict):
-    """Cache of pieces; an unknown piece is encoded on first look-up."""
+    """Cache of pieces; an unknown piece is encoded on first look-up. Long ones, which hardly recur, are not kept, so
+    texts without blanks fill no memory."""
 
-    def __init__(self, encode) -> None:
+    def __init__(self, encode, most: int = CACHE_BYTES) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.most, self.held = encode, most, 0
 
     def __missing__(self, piece: str):
-        found = self[piece] = self.encode(piece)
+        found = self.encode(piece)
+        if len(piece) <= CACHED_LENGTH:
+            # a character takes up to four bytes in memory, and its ids up to sixteen
+            self.held += _ENTRY + 4 * len(piece) + (len(found) if type(found) is bytes else 0)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[piece] = found
         return found
 
 
@@ -56,7 +66,7 @@ class Encoder:
         self.lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)  # bytes of each id
         for token, rank in self.ranks.items():
             self.lengths[rank] = len(token)
-        self.pretokens: dict[str, bytes] = {}
+        self.pretokens = Pieces(lambda token: array("i", self.merge(token.encode("utf-8", "replace"))).tobytes())
         self.pieces = Pieces(self.encode_piece)
         self.counts = Pieces(lambda piece: len(self.pieces[piece]) // 4)
 
@@ -121,17 +131,7 @@ class Encoder:
         tokens = self.pattern.findall(piece)
         if len(tokens) == 1 and len(piece) <= 64:
             return array("i", self.merge(piece.encode("utf-8", "replace"))).tobytes()
-        out, known = [], self.pretokens
-        for token in tokens:
-            ids = known.get(token)
-            if ids is None:
-                if len(known) > CACHE_ENTRIES:
-                    known.clear()
-                ids = array("i", self.merge(token.encode("utf-8", "replace"))).tobytes()
-                if len(token) <= 64:
-                    known[token] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pretokens.__getitem__, tokens))
 
     def cut(self, text: str) -> list[str]:
         """The text's pieces: cut before each blank that precedes a non-blank."""
@@ -141,23 +141,15 @@ class Encoder:
             return text.replace(" ", "\0 ").split("\0")
         return _CUT.sub("\0 ", text).split("\0")
 
-    def _trim(self) -> None:
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if len(self.counts) > CACHE_ENTRIES:
-            self.counts.clear()
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        self._trim()
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), np.int32)
 
     def count(self, text: str | None) -> int:
         """len(encode(text)), without building the ids."""
         if not text:
             return 0
-        self._trim()
         return sum(map(self.counts.__getitem__, self.cut(text)))
 
 

@@ -7,7 +7,7 @@ words anywhere beyond the overlap; where there is none, a hard cut follows at th
 The next piece starts `overlap` tokens before that end, moved back to the start of a word (by at most 32 tokens, and a quarter of the limit).
 Only where such a start leaves no room for a further character within the limit does a piece follow without overlap.
 
-Every piece encodes to at most `limit` tokens by itself; pieces cover the text without a gap. Defined cases: null and
+Every piece encodes to at most `limit` tokens by itself (for limits below 6 a piece of one character can have more); pieces cover the text without a gap. Defined cases: null and
 empty texts give no piece; a text within the limit gives itself; ids may be null or repeated.
 """
 
