@@ -3,15 +3,16 @@
 1. Records with the same word set form a class; one representative each goes on (copies are never compared).
 2. A representative gets a sketch of 112 bits: each word flips one bit. The Hamming distance of two sketches never
    exceeds the number of words in which the sets differ, so a similarity of t bounds it by (1-t)/(1+t) * (|A|+|B|).
-3. Representatives are dealt into shards by bands of MinHashes. A band has `rows` MinHashes, four up to four million
+3. Representatives are dealt into shards by bands of MinHashes. A band has `rows` MinHashes, five up to four million
    classes and one more for each tenfold, so that what unrelated records share by chance stays a few; there are as many bands
    as let a pair at the threshold share none with a probability of `miss` at most, whatever the size.
    A band that more than `shard_rows` representatives share is crowded: its members are dealt on by a second set of
    bands among themselves. What is still crowded then is split into parts, and the tree of each part meets the queries
    of each part.
 4. Each shard's sketches become a BK-tree: children are keyed by their integer Hamming distance to the parent, and a
-   search follows only edges within the radius (triangle inequality), so within a shard no pair is lost. The trees of
-   all shards of a task are built and searched together, level by level, on arrays.
+   search follows only edges within the radius (triangle inequality), so within a shard no pair is lost. An edge with few
+   descendants keeps them as a list instead of a subtree. The trees of all shards of a task are built and searched
+   together, level by level, on arrays.
 5. Pairs found are verified on the word sets themselves.
 
 No cap on candidates. Which bands are crowded is told from every 16th representative; it decides only how work is dealt.
@@ -60,7 +61,7 @@ def word_sets(df: DataFrame, fields: list[str]) -> "F.Column":
     """The sorted hashes of the distinct words (runs of letters and digits, lower-cased) of the fields together."""
     text = F.lower(F.concat_ws(" ", *fields))
     words = F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+"))
-    return F.array_sort(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def sketches(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def minhash_keys(offsets: np.ndarray, values: np.ndarray, bands: int, rows: int,
 
 def banding(classes: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bands, MinHashes a band) for a number of classes; a pair at the threshold shares no band with at most `miss`."""
-    rows = 4 + max(0, math.ceil(math.log10(max(classes, 1) / 4e6)))
+    rows = 5 + max(0, math.ceil(math.log10(max(classes, 1) / 4e6)))
     return (1 if threshold == 1 else math.ceil(math.log(miss) / math.log(1 - threshold**rows))), rows
 
 
@@ -98,9 +99,10 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """BK-trees of several shards. sketch: (n, 2); shard: ascending shard numbers from 0 of the rows."""
+    """BK-trees of several shards. sketch: (n, 2); shard: ascending shard numbers from 0 of the rows. An edge below which
+    there are at most `leaf` rows holds them as a list; the lists of a node's edges lie side by side."""
 
-    def __init__(self, sketch: np.ndarray, shard: np.ndarray, shards: int) -> None:
+    def __init__(self, sketch: np.ndarray, shard: np.ndarray, shards: int, leaf: int = 32) -> None:
         self.sketch = sketch
         n = len(sketch)
         first = np.searchsorted(shard, np.arange(shards))
@@ -109,21 +111,47 @@ class Forest:
         rest = np.ones(n, bool)
         rest[first[there]] = False
         pending, at = np.flatnonzero(rest), self.root[shard[rest]]
-        links, children = [], []
+        nodes, listed = ([], []), ([], [])  # (parent * 256 + edge, row)
         while len(pending):
             link = at * 256 + _distance(sketch[pending], sketch[at])
-            distinct, index, inverse = np.unique(link, return_index=True, return_inverse=True)
-            child = pending[index]
-            links.append(distinct)
-            children.append(child)
-            at = child[inverse]
-            below = pending != at
-            pending, at = pending[below], at[below]
-        links, children = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (links, children))
+            order = np.argsort(link, kind="stable")
+            pending, link = pending[order], link[order]
+            begins = np.flatnonzero(np.concatenate(([True], link[1:] != link[:-1])))
+            width = np.diff(np.append(begins, len(link)))
+            many = np.repeat(width > leaf, width)
+            listed[0].append(link[~many])
+            listed[1].append(pending[~many])
+            heads = begins[width > leaf]
+            nodes[0].append(link[heads])
+            nodes[1].append(pending[heads])
+            below = many.copy()
+            below[heads] = False
+            at = np.repeat(pending[heads], width[width > leaf] - 1)
+            pending = pending[below]
+        self.links, self.children = self._ordered(*nodes)
+        self.edges, self.rows = self._ordered(*listed)
+        self.listed = sketch[self.rows]
+
+    @staticmethod
+    def _ordered(links: list[np.ndarray], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        links, rows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (links, rows))
         order = np.argsort(links, kind="stable")
-        self.links, self.children = links[order], children[order]  # parent * 256 + edge, ascending
+        return links[order], rows[order]
+
+    @staticmethod
+    def _spans(low: np.ndarray, high: np.ndarray, block: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The numbers low..high-1 of each range, in pieces of about `block`: (first range, end, widths, numbers)."""
+        width = high - low
+        total = np.concatenate(([0], np.cumsum(width)))
+        begin = 0
+        while begin < len(low):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + block, "right")) - 1)
+            if total[end] > total[begin]:
+                w = width[begin:end]
+                yield begin, end, w, np.repeat(low[begin:end] - (total[begin:end] - total[begin]), w) + np.arange(total[end] - total[begin])
+            begin = end
 
-    def search(self, query: np.ndarray, shard: np.ndarray, radius: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def search(self, query: np.ndarray, shard: np.ndarray, radius: np.ndarray, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query number, row, distance) of all rows of the query's shard within its radius."""
         root = self.root[shard]
         number = np.flatnonzero(root >= 0)
@@ -134,18 +162,15 @@ class Forest:
             near = d <= radius[q]
             if near.any():
                 yield q[near], at[near], d[near]
-            low = np.searchsorted(self.links, at * 256 + np.maximum(d - radius[q], 0))
-            high = np.searchsorted(self.links, at * 256 + np.minimum(d + radius[q], 255), "right")
-            width = high - low
-            total = np.concatenate(([0], np.cumsum(width)))
-            begin = 0
-            while begin < len(q):  # in pieces of about `block` edges
-                end = max(begin + 1, int(np.searchsorted(total, total[begin] + block, "right")) - 1)
-                w = width[begin:end]
-                if total[end] > total[begin]:
-                    edge = np.repeat(low[begin:end] - (total[begin:end] - total[begin]), w) + np.arange(total[end] - total[begin])
-                    stack.append((np.repeat(q[begin:end], w), self.children[edge]))
-                begin = end
+            least, most = at * 256 + np.maximum(d - radius[q], 0), at * 256 + np.minimum(d + radius[q], 255)
+            for begin, end, w, found in self._spans(np.searchsorted(self.edges, least), np.searchsorted(self.edges, most, "right"), block):
+                asks = np.repeat(q[begin:end], w)
+                d = _distance(query[asks], self.listed[found])
+                near = np.flatnonzero(d <= radius[asks])
+                if len(near):
+                    yield asks[near], self.rows[found[near]], d[near]
+            for begin, end, w, found in self._spans(np.searchsorted(self.links, least), np.searchsorted(self.links, most, "right"), block):
+                stack.append((np.repeat(q[begin:end], w), self.children[found]))
 
 
 def near_pairs(key: np.ndarray, side: np.ndarray, uid: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
