@@ -1,81 +1,133 @@
-"""Complete-linkage clusters of candidates within each article, and one canonical row per cluster."""
+"""Complete-linkage clusters of candidates within each article, one canonical row per cluster, and connected components."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quern.runtime import cut
-
-
-def complete_linkage(edges: list[tuple[int, int, float]]) -> dict[int, int]:
-    """Cluster (its smallest member) of each node of the edges. edges: similar pairs, i < j; pairs that are no edge must
-    stay apart. The most similar two clusters merge first, ties by the smallest members."""
-    near: dict[int, dict[int, float]] = {}
-    for i, j, s in edges:
-        near.setdefault(i, {})[j] = s
-        near.setdefault(j, {})[i] = s
-    heap = [(-s, i, j) for i, j, s in edges]
+from quern.runtime import cut, ship
+
+#: Nodes up to which a component is clustered on a dense matrix (8 bytes a pair); beyond, on its edges alone.
+DENSE = 6000
+
+
+def complete_linkage(i: np.ndarray, j: np.ndarray, sim: np.ndarray, dense: int = DENSE) -> dict[int, int]:
+    """Cluster (its smallest member) of each node of the edges (i, j, sim), which are the similar pairs; pairs that are no
+    edge must stay apart. The most similar two clusters merge first, ties by the smallest members."""
+    if not len(i):
+        return {}
+    nodes, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = at[: len(i)], at[len(i) :]
+    of = _dense_linkage(len(nodes), a, b, sim) if len(nodes) <= dense else _sparse_linkage(len(nodes), a, b, sim)
+    return dict(zip(nodes.tolist(), nodes[of].tolist()))
+
+
+def _dense_linkage(n: int, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Each row's best partner is kept; after a merger only rows that lost theirs are looked through again."""
+    s = np.full((n, n), -np.inf)
+    s[a, b] = s[b, a] = sim
+    of, partner = np.arange(n), s.argmax(axis=1)
+    best = s[of, partner]
+    while True:
+        i = int(best.argmax())
+        if best[i] == -np.inf:
+            break
+        j = int(partner[i])  # i < j: the smallest row of the best, and its smallest partner
+        of[of == j] = i
+        s[i] = np.minimum(s[i], s[j])
+        s[i, i] = -np.inf
+        s[:, i] = s[i]
+        s[j] = s[:, j] = -np.inf
+        rows = np.flatnonzero((partner == i) | (partner == j) | (np.arange(n) == i) | (np.arange(n) == j))
+        partner[rows] = s[rows].argmax(axis=1)
+        best[rows] = s[rows, partner[rows]]
+    return of
+
+
+def _sparse_linkage(n: int, a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    near: list[dict[int, float] | None] = [{} for _ in range(n)]
+    for x, y, v in zip(a.tolist(), b.tolist(), sim.tolist()):
+        near[x][y] = near[y][x] = v
+    heap = [(-v, min(x, y), max(x, y)) for x, y, v in zip(a.tolist(), b.tolist(), sim.tolist())]
     heapq.heapify(heap)
-    members = {i: [i] for i in near}
+    into = np.arange(n)
     while heap:
-        s, i, j = heapq.heappop(heap)
-        if i not in near or j not in near or near[i].get(j) != -s:
+        v, x, y = heapq.heappop(heap)
+        if near[x] is None or near[y] is None or near[x].get(y) != -v:
             continue  # merged away, or no longer their similarity
-        a, b = near.pop(i), near.pop(j)
-        for k in (a.keys() | b.keys()) - {i, j}:
-            near[k].pop(i, None)
-            near[k].pop(j, None)
-        joint = {k: min(a[k], b[k]) for k in (a.keys() & b.keys())}
-        near[i] = joint
-        members[i] += members.pop(j)
-        for k, v in joint.items():
-            near[k][i] = v
-            heapq.heappush(heap, (-v, min(i, k), max(i, k)))
-    return {m: c for c, ms in members.items() for m in ms}
+        left, right = near[x], near[y]
+        for k in (left.keys() | right.keys()) - {x, y}:
+            near[k].pop(x, None)
+            near[k].pop(y, None)
+        near[x] = {k: min(left[k], right[k]) for k in left.keys() & right.keys()}
+        near[y], into[y] = None, x
+        for k, w in near[x].items():
+            near[k][x] = w
+            heapq.heappush(heap, (-w, min(x, k), max(x, k)))
+    for y in range(n):  # a node merges into a smaller one
+        into[y] = into[into[y]]
+    return into
 
 
 def clusters(pool: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, i, cluster) of each row of pool (g, i); edges (g, i, j, sim) are the pairs above the threshold.
+    """(g, i, cluster) of each row of pool (g, i); edges (g, i, j, sim) are the pairs above the threshold, a written table.
 
     Clusters never reach beyond a connected component of the edges, since all pairs of a cluster are edges. So components
-    are found first, distributed, and only the edges of one component meet in a task, not an article's whole pool."""
-    ids = cut(pool.select("g", "i").withColumn("node", F.monotonically_increasing_id()))
-    linked = edges.join(ids.withColumnRenamed("node", "a"), ["g", "i"]).join(ids.select("g", F.col("i").alias("j"), F.col("node").alias("b")), ["g", "j"])
-    linked = cut(linked.select("g", "i", "j", "sim", "a", "b"))
-    parts = _components(linked.select("a", "b"))
-    grouped = linked.join(parts.withColumnRenamed("node", "a"), "a")
-
-    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        of = complete_linkage(list(zip(pdf["i"].tolist(), pdf["j"].tolist(), pdf["sim"].tolist())))
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * len(of), "i": list(of), "cluster": list(of.values())})
-
-    kind = dict(pool.dtypes)
-    found = grouped.select("root", "g", "i", "j", "sim").groupBy("root").applyInPandas(link, f"g {kind['g']}, i long, cluster long")
-    return pool.select("g", F.col("i").cast("long").alias("i")).join(found, ["g", "i"], "left").withColumn("cluster", F.coalesce("cluster", "i"))
-
-
-def _components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): smallest labels spread along the edges, each round also to the label's own node, until none changes."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
+    are found first, distributed, and only the edges of one component meet in a task, not an article's whole pool. Nodes
+    go by a hash of group and row; two that share one would only meet in a task, and are told apart there."""
+    ship(pool.sparkSession)
+    node = lambda c: F.xxhash64("g", c)
+    linked = edges.select("g", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "sim", node("i").alias("node"))
+    roots = components(edges.select(node("i").alias("a"), node("j").alias("b")))
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        names = table["g"].combine_chunks().dictionary_encode()
+        group, i, j, sim = names.indices.fill_null(-1).to_numpy(zero_copy_only=False), *(table[c].to_numpy() for c in ("i", "j", "sim"))
+        rows: list[tuple] = []
+        for g in np.unique(group):
+            at = group == g
+            name = None if g < 0 else names.dictionary[int(g)].as_py()
+            rows += [(name, k, c) for k, c in complete_linkage(i[at], j[at], sim[at]).items()]
+        columns = list(zip(*rows))
+        kinds = [table.schema.field("g").type, pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["g", "i", "cluster"])
+
+    found = linked.join(roots, "node").select("root", "g", "i", "j", "sim").groupBy("root").applyInArrow(link, f"g {dict(pool.dtypes)['g']}, i long, cluster long")
+    whole = pool.select("g", F.col("i").cast("long").alias("i")).alias("p").join(found.alias("f"), F.expr("p.g <=> f.g and p.i = f.i"), "left")
+    return whole.select("p.g", "p.i", F.coalesce("f.cluster", "p.i").alias("cluster"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+    """(node, root) for each node of the edges; root is the smallest node of its component. Large star and small star in
+    turn, each round written to the shared folder, until the edges stay the same."""
+    now = cut(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x != y").distinct())
     for _ in range(rounds):
-        spread = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "root")
-        hooked = labels.alias("l").join(labels.alias("r"), F.col("l.root") == F.col("r.node")).select(F.col("l.node").alias("node"), F.col("r.root").alias("root"))
-        new = cut(spread.unionByName(hooked).unionByName(labels).groupBy("node").agg(F.min("root").alias("root")))
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root != old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError("components didn't settle")
+        both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
+        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        kept = large.join(low, "x")
+        small = kept.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(kept.select("x", F.col("m").alias("y"))).where("x != y").distinct()
+        new = cut(small)
+        sums = [t.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).collect()[0] for t in (now, new)]
+        now = new
+        if sums[0] == sums[1]:
+            break
+    else:
+        raise RuntimeError("components didn't settle")
+    roots = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
+    return roots.unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root"))).distinct()
 
 
 def weighted_degrees(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds to (g, i, cluster) the sum of similarities to the other members, rounded to four places."""
-    a = pairs.join(clustered.select("g", "i", "cluster"), ["g", "i"]).join(clustered.select("g", F.col("i").alias("j"), F.col("cluster").alias("other")), ["g", "j"]).where("cluster = other")
+    # alone rows have no edge within their cluster
+    joint = clustered.where("cluster != i").select("g", "cluster").distinct()
+    several = cut(clustered.join(joint, ["g", "cluster"], "left_semi").select("g", "i", "cluster"))
+    a = pairs.join(several, ["g", "i"]).join(several.select("g", F.col("i").alias("j"), F.col("cluster").alias("other")), ["g", "j"]).where("cluster = other")
     ends = a.select("g", F.explode(F.array("i", "j")).alias("i"), "sim").groupBy("g", "i").agg(F.round(F.sum("sim"), 4).alias("degree"))
     return clustered.join(ends, ["g", "i"], "left").fillna(0.0, ["degree"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.runtime import cut
+
 
 def kappa(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Cohen's kappa of two label columns, with n and agreement; labels '' and N/A on either side leave a pair out.
@@ -62,40 +64,75 @@ def errors_by_position(df: DataFrame, order: str, truth: str, predicted: str, pe
     return wrong.groupBy((F.pmod(F.col("_n") - 1, F.lit(period)) + 1).cast("int").alias("question"), kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def cumulative(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] = ()) -> DataFrame:
+    """Adds running sums, of all rows or within `by`, in an order that must be unique and begin with the columns of `by`. No
+    task sorts all rows of a group: rows go to range partitions and are written with their partition, so that the sums
+    of whole partitions, which are added to those within, can't differ from them."""
+    parts = {f"_s{k}": c for k, c in enumerate(sums.values())}
+    ranged = cut(df.select("*", *[c.alias(n) for n, c in parts.items()]).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    whole = ranged.groupBy("_part", *by).agg(*[F.sum(n).alias(f"_t{n}") for n in parts])
+    down = Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part")  # one row a partition
+    before = whole.select("_part", *by, *[(F.sum(f"_t{n}").over(down) - F.col(f"_t{n}")).alias(f"_b{n}") for n in parts])
+    if by:  # most groups lie in one partition and have nothing before them
+        before = before.where(" or ".join(f"_b{n} != 0" for n in parts))
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(n).over(inside).alias(f"_i{n}") for n in parts])
+    same = F.expr(" and ".join(["l._part = b._part", *[f"l.{c} <=> b.{c}" for c in by]]))
+    out = local.alias("l").join(F.broadcast(before.alias("b")), same, "left")
+    added = [(F.col(f"l._i{n}") + F.coalesce(F.col(f"b._b{n}"), F.lit(0))).alias(name) for name, n in zip(sums, parts)]
+    return out.select(*[F.col(f"l.`{c}`") for c in df.columns if c not in sums], *added)
+
+
 def numbered(df: DataFrame, order: str, name: str = "_n") -> DataFrame:
-    """Adds row numbers from 1 in the order of a unique column, with no global sort: range partitions, counts, offsets."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    ends = ranged.groupBy("_part").agg(F.count("*").alias("_c"), F.min(order).alias("_from"))
-    # one row a partition
-    before = ends.select(F.col("_from"), (F.sum("_c").over(Window.orderBy("_from")) - F.col("_c")).alias("_before"), F.col("_part").alias("_p"))
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return local.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_p", "_k", "_from", "_before")
+    """Adds row numbers from 1 in the order of a unique column, with no global sort."""
+    return cumulative(df, [F.col(order)], {name: F.lit(1)})
 
 
-def roc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
-    """(threshold, tpr, fpr) for each distinct score, from the highest; cumulative over scores, not rows."""
+def _scored(df: DataFrame, truth: Column, score: Column) -> DataFrame:
+    """(threshold, pos, neg, cp, cn): rows at each distinct score and from the highest down to it."""
     at = df.groupBy(score.alias("threshold")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    down = Window.orderBy(F.desc("threshold"))
-    whole = at.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    out = at.withColumn("cp", F.sum("pos").over(down)).withColumn("cn", F.sum("neg").over(down)).join(F.broadcast(whole))
-    return out.select("threshold", F.try_divide("cp", "all_pos").alias("tpr"), F.try_divide("cn", "all_neg").alias("fpr"))
+    return cumulative(at, [F.desc("threshold")], {"cp": F.col("pos"), "cn": F.col("neg")})
 
 
-def auc(points: DataFrame) -> DataFrame:
-    """Area under (fpr, tpr) by trapezoids, from (0, 0)."""
-    w = Window.orderBy("fpr", "tpr")
-    x, y = F.lag("fpr", 1, 0.0).over(w), F.lag("tpr", 1, 0.0).over(w)
-    return points.select(((F.col("fpr") - x) * (F.col("tpr") + y) / 2).alias("part")).agg(F.sum("part").alias("auc"))
+def roc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
+    """(threshold, tpr, fpr) for each distinct score, from the highest; cumulative over scores, not rows."""
+    at = cut(_scored(df, truth, score))
+    whole = at.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    return at.join(F.broadcast(whole)).select("threshold", F.try_divide("cp", "all_pos").alias("tpr"), F.try_divide("cn", "all_neg").alias("fpr"))
+
+
+def auc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
+    """Area under the ROC curve by trapezoids from (0, 0): each step right, times the mean of the heights at its ends."""
+    at = _scored(df, truth, score)
+    area = F.sum(F.col("neg").cast("double") * (2 * F.col("cp") - F.col("pos")) / 2)
+    return at.agg(F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """(by, q): linear quantiles of the values of each group, nulls left out; weight names a column of how often a row counts.
+    Ranks are looked up in running counts of the distinct values, so no task holds a group's values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
+    placed = cut(cumulative(counts, [*map(F.col, by), F.col("_v")], {"_to": F.col("_c")}, by))
+    sizes = placed.groupBy(*by).agg(F.max("_to").alias("_n"))
+    same = F.expr(" and ".join(f"p.{c} <=> s.{c}" for c in by))
+    at = placed.alias("p").join(sizes.alias("s"), same).select(*[F.col(f"p.{c}").alias(c) for c in by], "_v", "_c", "_to", "_n")
+    picks = []
+    for k, q in enumerate(shares):
+        low = F.floor((F.col("_n") - 1) * q)
+        held = lambda rank: (F.col("_to") > rank) & (F.col("_to") - F.col("_c") <= rank)
+        picks += [F.max(F.when(held(low), F.col("_v"))).alias(f"_l{k}"), F.max(F.when(held(F.ceil((F.col("_n") - 1) * q)), F.col("_v"))).alias(f"_h{k}")]
+    found = at.groupBy(*by, "_n").agg(*picks)
+    mixed = [F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * ((F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)) for k, q in enumerate(shares)]
+    return found.select(*by, F.array(*mixed).alias("q"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles (linear) and maximum of each column, rounded to three places."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     r = lambda c: F.round(c, 3)
-    return long.groupBy("variable").agg(F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("std"), r(F.min("v")).alias("low"), q.alias("q"), r(F.max("v")).alias("high")).select(
-        "variable", "n", "mean", "std", "low", r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "high"
-    )
+    plain = long.groupBy("variable").agg(F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("std"), r(F.min("v")).alias("low"), r(F.max("v")).alias("high"))
+    q = quantiles(long, ["variable"], "v", [0.25, 0.5, 0.75])
+    return plain.join(q, "variable", "left").select("variable", "n", "mean", "std", "low", r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "high")
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -105,14 +142,24 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
     return df.where((v >= low) & (v <= high)).groupBy(k.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def edged_histogram(df: DataFrame, value: Column, edges: list[float]) -> DataFrame:
+    """(bin from 0, low, high, n) of bins between given edges, right edges excluded but for the last; empty bins too."""
+    v = value.cast("double")
+    k = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v)) - 1
+    counts = df.where((v >= edges[0]) & (v <= edges[-1])).groupBy(F.least(k, F.lit(len(edges) - 2)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin long, low double, high double")
+    return bins.join(counts, "bin", "left").fillna(0, ["n"])
+
+
 def boxplot(df: DataFrame, by: list[Column], value: str) -> DataFrame:
     """Quartiles, and the furthest values within one and a half quartile ranges."""
     names = [f"k{i}" for i in range(len(by))]
-    base = df.select(*[c.alias(n) for c, n in zip(by, names)], F.col(value).alias("v")).where("v is not null")
-    q = base.groupBy(*names).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    base = cut(df.select(*[c.alias(n) for c, n in zip(by, names)], F.col(value).alias("v")).where("v is not null").groupBy(*names, "v").agg(F.count("*").alias("c")))
+    q = quantiles(base, names, "v", [0.25, 0.5, 0.75], "c")
     q = q.select(*names, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    inside = base.join(q, names).where("v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1)")
-    return inside.groupBy(*names, "q1", "median", "q3").agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high"))
+    same = F.expr(" and ".join(f"b.{c} <=> q.{c}" for c in names))
+    inside = base.alias("b").join(q.alias("q"), same).where("v >= q1 - 1.5 * (q3 - q1) and v <= q3 + 1.5 * (q3 - q1)")
+    return inside.groupBy(*[F.col(f"b.{c}").alias(c) for c in names], "q1", "median", "q3").agg(F.min("v").alias("whisker_low"), F.max("v").alias("whisker_high"))
 
 
 def shares(df: DataFrame, key: Column, name: str) -> DataFrame:

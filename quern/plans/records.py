@@ -43,11 +43,11 @@ def similar_pairs_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_reconcile(spark: SparkSession, sf_dir: str, theta: float = 0.3) -> DataFrame:
     """Candidates of all logged answers, clustered within their article and reconciled to one row per cluster."""
-    pool = cut(responses.candidates(table(spark, sf_dir, "responses")))
+    pool = cut(responses.candidates(responses.first_lines(table(spark, sf_dir, "responses"))))
     g = similarity.grams(pool, "article", "idx", "merged_text", ["model_key"])
-    edges = cut(similarity.similar_pairs(g, "model_key", theta).withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")))
-    base = pool.select(F.col("article").alias("g"), F.col("idx").cast("long").alias("i"), "model_key", "text", "impact", "evidence", "confidence")
-    of = cluster.weighted_degrees(cluster.clusters(base.select("g", "i"), edges), edges)
+    edges = cut(similarity.similar_pairs(g, "model_key", theta))
+    base = pool.select(F.col("article").alias("g"), F.col("idx").alias("i"), "model_key", "text", "impact", "evidence", "confidence")
+    of = cluster.weighted_degrees(cut(cluster.clusters(base.select("g", "i"), edges)), edges)
     return cluster.reconcile(base.join(of, ["g", "i"]))
 
 
@@ -57,11 +57,11 @@ def reconcile_default_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of given clusters (a venue's rows of one model): the row most similar to the others."""
-    pool = cut(_pool(spark, sf_dir))
-    pairs = similarity.similar_pairs(similarity.grams(pool.withColumn("k", F.concat_ws("|", "venue", "model")), "k", "row_id", "text"))
-    ends = pairs.select("g", F.explode(F.array("i", "j")).alias("row_id"), "sim").groupBy("g", "row_id").agg(F.round(F.sum("sim"), 4).alias("degree"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("degree"), "row_id"))
-    return ends.withColumn("r", rank).where("r = 1").select(F.col("g").alias("k"), "row_id", "degree")
+    pool = _pool(spark, sf_dir).withColumn("k", F.concat_ws("|", "venue", "model"))
+    sums = similarity.similarity_sums(similarity.grams(pool, "k", "row_id", "text"))
+    several = sums.join(pool.groupBy(F.col("k").alias("g")).count().where("count > 1"), "g", "left_semi").select("g", F.col("i").alias("row_id"), F.round("total", 4).alias("degree"))
+    best = several.groupBy("g").agg(F.max_by(F.struct("row_id", "degree"), F.struct("degree", -F.col("row_id"))).alias("b"))
+    return best.select(F.col("g").alias("k"), "b.row_id", "b.degree")
 
 
 def builtin_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.auc(metrics.roc(_judged(spark, sf_dir), F.col("truth"), F.col("score"))).select(F.round("auc", 6).alias("auc"))
+    return metrics.auc(_judged(spark, sf_dir), F.col("truth"), F.col("score")).select(F.round("auc", 6).alias("auc"))
 
 
 _FIELDS = ["actionable_valid", "evidence_valid", "impact_valid", "sound_valid", "precise_valid", "cat_onboarding", "cat_code_standards", "cat_testing_qa", "cat_community", "cat_documentation", "cat_governance", "cat_security", "cat_cicd"]

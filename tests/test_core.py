@@ -98,6 +98,88 @@ def test_linkage_against_the_definition(spark):
     assert got == expected
 
 
+def test_dense_and_sparse_linkage_with_ties():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 30):
+        for _ in range(10):
+            sim = rng.integers(0, 6, (n, n)) / 10
+            sim = np.triu(sim, 1) + np.triu(sim, 1).T
+            i, j = np.nonzero(np.triu(sim > 0.15))
+            wanted = {k: c for k, c in brute_linkage(sim, 0.15).items() if k in set(i) | set(j)}
+            for dense in (0, 100):
+                assert cluster.complete_linkage(i * 3, j * 3, sim[i, j], dense) == {3 * k: 3 * c for k, c in wanted.items()}
+
+
+def plain_similarity(a, b):
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    j = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    x, y = grams(a, 1), grams(b, 1)
+    return (sum(j(grams(a, n), grams(b, n)) for n in (1, 2, 3)) / 3 + (len(x & y) / min(len(x), len(y)) if x and y else 0.0)) / 2
+
+
+@pytest.mark.parametrize("part_rows", [512, 7])
+def test_ensemble_similarity_and_sums_by_tiles(spark, part_rows):
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
+    rows = [(rng.choice(["g", "h", None]), i, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 6, 12]))), rng.choice(["x", "y", None]), rng.choice([None, [rng.gauss(0, 1) for _ in range(3)], [0.0] * 3])) for i in range(70)]
+    grams = similarity.grams(spark.createDataFrame(rows, "g string, i long, t string, m string, v array<double>"), "g", "i", "t", ["m", "v"])
+
+    def score(r, s):
+        lexical = plain_similarity(r[2].split(), s[2].split())
+        u, v = (np.array(x[4] or [0.0] * 3) for x in (r, s))
+        length = np.linalg.norm(u) * np.linalg.norm(v)
+        both = 0.4 * lexical + 0.6 * max(0.0, u @ v / length if length else 0.0)
+        return lexical, both * (0.15 if r[3] is not None and r[3] == s[3] else 1)
+
+    wanted = {(r[1], s[1]): score(r, s) for r in rows for s in rows if r[0] == s[0] and r[1] < s[1]}
+    got = {(r.i, r.j): r.sim for r in similarity.similar_pairs(grams, "m", None, "v", part_rows).collect()}
+    assert got == pytest.approx({k: v[1] for k, v in wanted.items()})
+    some = {(r.i, r.j): r.sim for r in similarity.similar_pairs(grams, "m", 0.3, "v", part_rows).collect()}
+    assert some == pytest.approx({k: v for k, v in got.items() if v > 0.3})
+    sums = {r.i: r.total for r in similarity.similarity_sums(grams, part_rows=part_rows).collect()}
+    assert sums == pytest.approx({r[1]: sum(v[0] for k, v in wanted.items() if r[1] in k) for r in rows})
+
+
+def test_models_embedders_and_resuming(spark):
+    df = spark.createDataFrame([(i, "ask %d" % i if i else None) for i in range(40)], "id long, p string")
+
+    def moody():
+        def call(prompts):
+            if len(prompts) > 1 and "ask 7" in prompts:
+                raise RuntimeError("batch")
+            if prompts == ["ask 7"]:
+                raise RuntimeError("alone")
+            return [["YES", " and", " more"] if p == "ask 9" else f"to {p}" for p in prompts]
+
+        return call
+
+    got = {r.id: r.answer for r in responses.infer(df, "p", moody, by="p", tasks=2, size=8, enough=lambda t: t.startswith("YES")).collect()}
+    assert got[7] == "ERROR: alone" and got[9] == "YES" and all(got[i] == f"to ask {i}" for i in range(1, 40) if i not in (7, 9)) and len(got) == 40
+
+    def slow():
+        def call(prompts):
+            import time
+
+            if "ask 3" in prompts:
+                time.sleep(3)
+            return [f"to {p}" for p in prompts]
+
+        return call
+
+    got = {r.id: r.answer for r in responses.infer(df.where("id in (3, 4)").coalesce(1), "p", slow, size=2, seconds=0.5).collect()}
+    assert got[3].startswith("ERROR: no answer within") and got[4] == "to ask 4"
+    v = {r.id: r.vector for r in responses.embed(df, "p", lambda: lambda ts: [[3.0 * len(t), 4.0 * len(t)] for t in ts], size=3).collect()}
+    assert v[0] is None and all(v[i] == pytest.approx([0.6, 0.8]) for i in range(1, 40))
+    log = spark.createDataFrame([(1, 1, "ERROR: x"), (1, 2, "fine"), (2, 1, "fine"), (2, 3, "ERROR: y"), (3, 1, None)], "id long, at long, answer string")
+    assert {r.id: r.status for r in responses.resume(df.where("id < 5"), log, "id", "at").collect()} == {0: "open", 1: "done", 2: "failed", 3: "failed", 4: "open"}
+
+
+def test_repeated_log_lines(spark):
+    rows = [(1, "a", None, 1), (2, None, "a", 1), (3, "a", None, 2), (4, "a", None, 1), (5, "b", "c", 1)]
+    df = spark.createDataFrame(rows, "response_id long, venue string, answer string, logged_at long")
+    assert sorted(r.response_id for r in responses.first_lines(df).collect()) == [1, 2, 5]
+
+
 def test_pairs_with_theta_are_those_above_it(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
@@ -139,9 +221,35 @@ def test_metrics_zero_denominators(spark):
     s = {x.theta: x for x in similarity.theta_scores(pairs, [0.1, 0.5]).collect()}
     assert (s[0.5].precision, s[0.5].recall, s[0.5].f1) == (1.0, 0.0, 0.0) and s[0.1].precision == 0.0
     a = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True), (0.1, False)], "s double, t boolean")
-    assert metrics.auc(metrics.roc(a, F.col("t"), F.col("s"))).collect()[0].auc == pytest.approx(0.75)
-    placed = metrics.numbered(spark.range(0, 1000, 1, 7).withColumn("v", F.col("id") * 3), "v").collect()
-    assert all(r._n == r.id + 1 for r in placed)
+    assert metrics.auc(a, F.col("t"), F.col("s")).collect()[0].auc == pytest.approx(0.75)
+    assert [(r.threshold, r.tpr, r.fpr) for r in metrics.roc(a, F.col("t"), F.col("s")).orderBy("fpr", "tpr").collect()] == [(0.9, 0.5, 0.0), (0.8, 0.5, 0.5), (0.7, 1.0, 0.5), (0.1, 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_numbers_of_a_large_table(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 3_000_000
+        df = spark.range(0, n, 1, 9).select((F.col("id") * 7919 % n).alias("v"), F.md5(F.col("id").cast("string")).alias("load"), (F.col("id") % 5).alias("k"))
+        r = metrics.numbered(df, "v").agg(F.count("*").alias("n"), F.count_if(F.col("_n") != F.col("v") + 1).alias("wrong"), F.count_if(F.length("load") == 32).alias("load")).collect()[0]
+        assert (r.n, r.wrong, r.load) == (n, 0, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = np.random.default_rng(1)
+    rows = [(str(g) if g else None, int(v)) for g, size in ((0, 3000), (1, 40), (2, 1), (3, 2)) for v in rng.integers(0, 500, size)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("c"))
+    got = {(r.g, r.v): r.s for r in metrics.cumulative(counts, [F.col("g"), F.col("v")], {"s": F.col("c")}, ["g"]).collect()}
+    assert all(s == sum(x == g and y <= v for x, y in rows) for (g, v), s in list(got.items())[::17])
+    q = {r.g: r.q for r in metrics.quantiles(df, ["g"], "v", [0.1, 0.5, 0.75]).collect()}
+    for g in {x for x, _ in rows}:
+        assert q[g] == pytest.approx(np.quantile([v for x, v in rows if x == g], [0.1, 0.5, 0.75]).tolist())
+    h = metrics.edged_histogram(df, F.col("v"), [0, 10, 10.5, 100, 499]).orderBy("bin").collect()
+    assert [r.n for r in h] == [sum(a <= v < b or (b == 499 == v) for _, v in rows) for a, b in ((0, 10), (10, 10.5), (10.5, 100), (100, 499))]
 
 
 def test_time_window(spark):
