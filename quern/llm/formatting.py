@@ -6,9 +6,10 @@ sorted order, as bytes. Counting them takes three passes:
 1. Within each input task, a trie with terminal counters collapses copies into partials (content, count, smallest id,
    other ids). It is emptied at `partial_rows` rows or `partial_bytes` bytes, so a hot group leaves partials of bounded size.
 2. Recursive radix partitioning of the partials: buckets by the first bytes; a bucket of more than `bucket_rows`
-   partials is split by the bytes behind what all its contents have in common, until each fits. The tree of splits
-   has at most (partials / bucket_rows) nodes a level. A bucket of one content only can't be split; its few contents
-   are merged by an aggregate with partial sums instead.
+   partials is split by the bytes behind what all its contents have in common, until each fits. A level's splits are a
+   table, broadcast up to MAX_BROADCAST of them and joined by shuffle beyond; only the partials of oversized buckets go on
+   to the next level, which is written. A bucket of one content only can't be split; it is merged by an aggregate with
+   partial sums instead.
 3. Each bucket's partials meet in one trie, whose terminal counters give the group's smallest id and size to each
    partial. Ids of copies never gather in one place: they stay in their partials and are joined by partial number.
 
@@ -19,6 +20,7 @@ a null id are left out; a repeated id counts as a copy each time but isn't liste
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from quern import runtime
 
 _STEP = 8  # bytes an edge of the trie
+#: Splits of a level up to which they are broadcast (a prefix and two numbers each).
+MAX_BROADCAST = 20_000
 
 
 class CountTrie:
@@ -65,7 +69,7 @@ class CountTrie:
 def canonical(fields: list[str]):
     """The content of a record, as binary."""
     bare = [F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{L}\p{N}]+", "")) for c in fields]
-    return F.array_join(F.array_sort(F.array(*bare)), "\n").cast("binary")
+    return F.array_join(F.sort_array(F.array(*bare)), "\n").cast("binary")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -126,49 +130,36 @@ class Copies:
         self.partials = runtime.cut(rows.mapInArrow(collapse, "uid long, keep long, n long, others array<long>, content binary"))
         self.result = runtime.cut(self._merge())
 
-    def plan(self) -> tuple[dict[bytes, int], list[bytes]]:
-        """Splits (prefix -> length of the next prefix), and contents that alone fill a bucket."""
-        splits: dict[bytes, int] = {}
-        alone: list[bytes] = []
-        depth = F.lit(self.step)
-        cur = self.partials.select("content")
+    def _level(self, cur: DataFrame) -> DataFrame:
+        """The oversized buckets of a level: (prefix, next), next being the bytes of the next prefix, or null for one content."""
+        buckets = cur.groupBy("prefix").agg(F.count("*").alias("c"), F.min("content").alias("low"), F.max("content").alias("high"))
+        step = self.step
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                longer = [None if x == y else _shared(x, y) + step for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(longer, pa.int32())], names=["prefix", "next"])
+
+        return runtime.cut(buckets.where(F.col("c") > self.bucket_rows).select("prefix", "low", "high").mapInArrow(split, "prefix binary, next int"))
+
+    def plan(self) -> tuple[DataFrame, DataFrame | None, int]:
+        """Partials with the bucket that fits them, those of contents that alone fill a bucket, and the levels of splits."""
+        cur = self.partials.select("uid", "keep", "n", "content", F.substring("content", F.lit(1), F.lit(self.step)).alias("prefix"))
+        fitting, alone, levels = [], [], 0
         while True:
-            buckets = cur.select(F.substring("content", F.lit(1), depth).alias("prefix"), "content").groupBy("prefix").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-            over = buckets.where(F.col("n") > self.bucket_rows).collect()  # at most partials / bucket_rows
-            new: dict[bytes, int] = {}
-            for r in over:
-                low, high = bytes(r["low"]), bytes(r["high"])
-                if low == high:
-                    alone.append(low)
-                else:
-                    new[bytes(r["prefix"])] = _shared(low, high) + self.step
-            if not new:
-                return splits, alone
-            splits |= new
-            listing = self.spark.createDataFrame([(bytearray(k), v) for k, v in new.items()], "split binary, next int")
-            cur = cur.select("content", F.substring("content", F.lit(1), depth).alias("prefix")).join(listing, F.col("prefix") == F.col("split")).select("content", F.col("next").alias("depth"))
-            depth = F.col("depth")
+            over = self._level(cur)
+            n = over.count()
+            if not n:
+                fitting.append(cur)
+                return reduce(DataFrame.unionByName, fitting), reduce(DataFrame.unionByName, alone) if alone else None, levels
+            over = F.broadcast(over) if n <= MAX_BROADCAST else over
+            fitting.append(cur.join(over.select("prefix"), "prefix", "left_anti"))
+            alone.append(cur.join(over.where("next is null").select("prefix"), "prefix").select("uid", "keep", "n", "content"))
+            cur = runtime.cut(cur.join(over.where("next is not null"), "prefix").select("uid", "keep", "n", "content", F.substring("content", F.lit(1), F.col("next")).alias("prefix")))
+            levels += 1
 
     def _merge(self) -> DataFrame:
-        splits, alone = self.plan()
-        shared, first = self.spark.sparkContext.broadcast((splits, set(alone))), self.step
-        narrow = self.partials.select("uid", "keep", "n", "content")
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, single = shared.value
-            for b in batches:
-                to: list[bytes | None] = []
-                for content in b.column(3).to_pylist():
-                    prefix = content[:first]
-                    while (depth := tree.get(prefix)) is not None and depth > len(prefix):
-                        longer = content[:depth]
-                        if longer == prefix:
-                            break
-                        prefix = longer
-                    to.append(None if content in single else prefix)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.binary())], names=["uid", "keep", "n", "content", "bucket"])
-
-        routed = narrow.mapInArrow(route, "uid long, keep long, n long, content binary, bucket binary")
+        fitting, alone, self.levels = self.plan()
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(held: list[tuple[int, list]]) -> pa.RecordBatch:
@@ -194,12 +185,13 @@ class Copies:
                 yield out(held)
 
         parts = max(runtime.slices(self.spark), 12)
-        bucketed = routed.where("bucket is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        bucketed = fitting.select("uid", "keep", "n", "content", F.col("prefix").alias("bucket")).repartition(parts, "bucket").sortWithinPartitions("bucket")
         result = bucketed.mapInArrow(count, "uid long, keep_id long, n_copies long")
-        if alone:
-            hot = narrow.join(self.spark.createDataFrame([(bytearray(x),) for x in alone], "content binary"), "content")
-            whole = hot.groupBy("content").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("n_copies"))
-            result = result.unionByName(hot.join(F.broadcast(whole), "content").select("uid", "keep_id", "n_copies") if len(alone) <= 10_000 else hot.join(whole, "content").select("uid", "keep_id", "n_copies"))
+        if alone is not None:
+            alone = runtime.cut(alone)
+            whole = runtime.cut(alone.groupBy("content").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("n_copies")))
+            whole = F.broadcast(whole) if whole.count() <= MAX_BROADCAST else whole  # at most partials / bucket_rows
+            result = result.unionByName(alone.join(whole, "content").select("uid", "keep_id", "n_copies"))
         return result
 
     def found(self) -> DataFrame:

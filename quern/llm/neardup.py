@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quern import runtime
+from quern.operators.cluster import components
 
 _BITS, _N_SHIFT = 112, 48  # a sketch fills two numbers but for 16 bits, which hold the size of the set
 #: Crowded bands up to which they are broadcast (8 bytes each); beyond, they are split without a second set of bands.
@@ -333,26 +334,3 @@ class NearDuplicates:
         light = self.members.where(F.col("n") < _HEAVY).select("id", "cid").join(named.where(F.col("n") < _HEAVY).drop("n"), "cid")
         whole = light.unionByName(self.members.where(F.col("n") >= _HEAVY).select("id", "cid").join(heavy, "cid"))
         return whole.select(F.col("id").alias(self.id_col), "class_id", "group_id", "n_links")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
-    """(node, root) for each node of the edges; root is the smallest node of its component. Large star and small star in
-    turn, each round written to the shared folder, until the edges stay the same."""
-    spark = edges.sparkSession
-    now = runtime.cut(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x != y").distinct())
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        kept = large.join(low, "x")
-        small = kept.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(kept.select("x", F.col("m").alias("y"))).where("x != y").distinct()
-        new = runtime.cut(small)
-        sums = [t.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).collect()[0] for t in (now, new)]
-        now = new
-        if sums[0] == sums[1]:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
-    return roots.unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root"))).distinct()

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from quern.llm import consensus
 from quern.llm.consensus import Consensus
 from quern.llm.formatting import Copies, CountTrie
 from quern.llm.neardup import Forest, NearDuplicates, components, near_pairs
@@ -60,7 +61,7 @@ def test_copies(spark, bucket_rows, partial_rows):
     assert found == sorted((min(g), i) for g in groups.values() for i in g if i != min(g))
     assert sorted((r.keep_id, r.n_copies) for r in op.contents().collect()) == sorted((min(g), len(g)) for g in groups.values())
     if bucket_rows == 1:
-        assert op.plan()[0]
+        assert op.levels > 1
 
 
 def test_no_records(spark):
@@ -177,3 +178,20 @@ def test_consensus(spark):
     r = {x.who: x.reliability for x in op.reliability().collect()}
     assert r["good"] > r["ok"] > r["poor"] > r["contrary"] and r["good"] > 0.88
     assert Consensus(df.limit(0), "item", "who", "at", ["f"]).labels().count() == 0
+
+
+def test_consensus_paths_agree(spark, monkeypatch):
+    """Arrays by item, flat edges for large items, and flat edges for many annotators give the same labels and rates."""
+    rng = random.Random(3)
+    rows = [(f"I{i % 60}", f"A{a}", i, rng.choice(["yes", "no", "no"] if i % 3 else ["yes", "yes", "no"]), rng.choice(["yes", "no", "?"])) for i in range(120) for a in range(6) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "item string, who string, at int, f string, g string")
+    found = []
+    for most, item_rows in ((50_000, 10_000), (50_000, 3), (0, 10_000)):
+        monkeypatch.setattr(consensus, "MAX_BROADCAST", most)
+        op = Consensus(df, "item", "who", "at", ["f", "g"], item_rows=item_rows)
+        assert op.has_flat == ((most, item_rows) != (50_000, 10_000))
+        labels = {(r.item, r.field_name): (r.label, round(r.belief, 6), r.n_answers) for r in op.labels().collect()}
+        found.append((labels, {r.who: round(r.reliability, 6) for r in op.reliability().collect()}))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 120
+    with pytest.raises(RuntimeError, match="didn't settle"):
+        Consensus(df, "item", "who", "at", ["f"], rounds=2)
