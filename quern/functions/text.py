@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from quern.schema import CATEGORIES, FAMILIES, MISSING, STOPWORDS
+from quern.schema import BAD_TITLE_PATTERN, CATEGORIES, DOI_PATTERN, FAMILIES, MISSING, STOPWORDS
 
 _BLANK = r"[ \t\n\r\f\x0b]"
 
@@ -153,9 +153,9 @@ def numbered_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.split(c, "\n"), lambda x: x.rlike("^[0-9]")), "\n")
 
 
-def plain_ids(c: Column) -> Column:
-    """Without the brackets and the prefix of reference ids."""
-    return F.replace(F.translate(c, "[]", ""), F.lit("ReACT-"), F.lit(""))
+def plain_ids(c: Column, tokens: list[str] = ("[", "]", "ReACT-")) -> Column:
+    """Without the tokens that mark reference ids."""
+    return reduce(lambda x, t: F.replace(x, F.lit(t), F.lit("")), tokens, c)
 
 
 def no_newlines(c: Column) -> Column:
@@ -241,11 +241,17 @@ def clean_title(c: Column) -> Column:
 
 def bad_title(c: Column) -> Column:
     t = clean_title(c)
-    return (F.length(t) < 6) | t.rlike(r"(?i)^(microsoft word|untitled|document\d*|\d+)\b") | F.replace(t, F.lit("."), F.lit("")).rlike(r"^\d+$")
+    return (F.length(t) < 6) | t.rlike(BAD_TITLE_PATTERN) | F.replace(t, F.lit("."), F.lit("")).rlike(r"^\d+$")
 
 
 def doi(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(c, r"(?i)10\.\d{4,9}/[^\s\"<>\]\)]+", 0), r"[.,;)]+$", "")
+    return F.regexp_replace(F.regexp_extract(c, DOI_PATTERN, 0), r"[.,;)]+$", "")
+
+
+def author_in_byline(families: Column, page: Column, lines: int = 12) -> Column:
+    """Whether one of the family names, of three letters or more, occurs in the page's first lines; false without any."""
+    byline = F.lower(F.array_join(F.slice(F.split(F.coalesce(page, F.lit("")), "\n"), 1, lines), "\n"))
+    return F.exists(F.coalesce(families, F.array().cast("array<string>")), lambda f: F.coalesce((F.length(F.trim(f)) > 2) & byline.contains(F.lower(F.trim(f))), F.lit(False)))
 
 
 def slug(c: Column) -> Column:
@@ -267,6 +273,12 @@ def percent(count: Column, total: Column) -> Column:
     return F.concat(count.cast("string"), F.lit(" ("), F.format_string("%.2f", share), F.lit("\\%)"))
 
 
+def fixed(c: Column, digits: int = 3, as_percent: bool = False, pending: str = r"\textcolor{red}{[PENDING]}") -> Column:
+    """A number for a table, or what stands for one that is still missing."""
+    shown = F.concat(F.format_string("%.1f", c), F.lit("\\%")) if as_percent else F.format_string(f"%.{digits}f", c)
+    return F.when(c.isNull() | F.isnan(c), pending).otherwise(shown)
+
+
 def interpret_kappa(c: Column) -> Column:
     chain = F.when(c.isNull(), "undefined").when(c < 0, "poor")
     for top, name in ((0.2, "slight"), (0.4, "fair"), (0.6, "moderate"), (0.8, "substantial")):

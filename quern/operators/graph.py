@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions import text as X
-from quern.runtime import cut
+from quern.functions.udfs import encode_vector
+from quern.operators.metrics import cumulative, numbered
+from quern.runtime import cut, ship
 from quern.schema import CATEGORIES
 
 
 def labelled(final_set: DataFrame) -> DataFrame:
     """(row_id, actionable, impact, evidence, ..., category, pos) of each canonical category of rows with an actionable."""
     rows = final_set.withColumn("actionable", X.collapse(F.col("actionable"))).where("actionable is not null and actionable != ''")
-    return rows.select("row_id", "actionable", "impact", "evidence", "sound", "precise", F.posexplode(X.canonical_categories(F.col("category"))).alias("pos", "category"))
+    more = [c for c in ("article_title", "avg_confidence", "support") if c in rows.columns]
+    return rows.select("row_id", "actionable", "impact", "evidence", "sound", "precise", *more, F.posexplode(X.canonical_categories(F.col("category"))).alias("pos", "category"))
 
 
 def merged_actionables(final_set: DataFrame) -> DataFrame:
     """One row per actionable text: its first row's fields, and all its categories in first-seen order."""
     rows = labelled(final_set)
-    first = rows.groupBy("actionable").agg(F.min("row_id").alias("first_row"), F.min_by(F.struct("impact", "evidence", "sound", "precise"), "row_id").alias("m"))
+    kept = [c for c in ("impact", "evidence", "sound", "precise", "article_title", "avg_confidence", "support") if c in rows.columns]
+    first = rows.groupBy("actionable").agg(F.min("row_id").alias("first_row"), F.min_by(F.struct(*kept), "row_id").alias("m"))
     seen = rows.groupBy("actionable", "category").agg(F.min(F.struct("row_id", "pos")).alias("at"))
     lists = seen.groupBy("actionable").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "category"))), lambda x: x["category"]).alias("categories"))
-    return first.join(lists, "actionable").select("actionable", "first_row", "categories", "m.impact", "m.evidence", "m.sound", "m.precise")
+    return first.join(lists, "actionable").select("actionable", "first_row", "categories", "m.*")
 
 
 def edges(final_set: DataFrame) -> DataFrame:
@@ -43,14 +51,45 @@ def degrees(e: DataFrame) -> DataFrame:
     return e.groupBy("category").agg(F.count_distinct("actionable").alias("degree"))
 
 
+def default_category(e: DataFrame, wanted: str) -> str | None:
+    """The wanted category if there is an edge to it, else the first by name; there are at most as many as canonical ones."""
+    names = sorted(r[0] for r in e.select("category").distinct().limit(len(CATEGORIES)).collect())
+    return wanted if wanted in names else names[0] if names else None
+
+
+def payload(final_set: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The graph as frames, with ids in first-seen order and no global sort:
+    - categories (id C_k, label, category, size of the label cut to 22 characters);
+    - actionables (id A_k, label, their first row's fields, all their categories, the text to search), with the base64
+      of their vector if `vectors` (actionable, vector) are given;
+    - edges (id E_k, category, actionable, from, to);
+    - stats (row_count, actionable_count, category_count, edge_count)."""
+    rows, e = labelled(final_set), cut(edges(final_set))
+    hubs = category_ids(e).withColumn("label", F.when(F.length("category") <= 22, F.col("category")).otherwise(F.concat(F.substring("category", 1, 20), F.lit("…")))).select("id", "label", "category")
+    hubs = cut(hubs)
+    placed = numbered(cut(merged_actionables(final_set)), "first_row", "_k")
+    nodes = placed.select(F.concat(F.lit("A_"), F.col("_k")).alias("id"), F.concat(F.lit("a"), F.col("_k")).alias("label"), *[c for c in placed.columns if c != "_k"], F.lower(F.coalesce("impact", F.lit(""))).alias("search_blob"))
+    if vectors is not None:
+        nodes = nodes.join(vectors.select("actionable", encode_vector("vector").alias("embedding")), "actionable", "left")
+    nodes = cut(nodes)
+    order = [F.col("first_row"), F.col("first_pos")]
+    links = cumulative(e, order, {"_k": F.lit(1)}).join(F.broadcast(hubs.select("category", F.col("id").alias("from"))), "category").join(nodes.select("actionable", F.col("id").alias("to")), "actionable")
+    links = links.select(F.concat(F.lit("E_"), F.col("_k")).alias("id"), "category", "actionable", "from", "to")
+    stats = rows.agg(F.count_distinct("row_id").alias("row_count")).join(nodes.agg(F.count("*").alias("actionable_count"))).join(hubs.agg(F.count("*").alias("category_count"))).join(e.agg(F.count("*").alias("edge_count")))
+    return {"categories": hubs, "actionables": nodes, "edges": links, "stats": stats}
+
+
 def chunks(e: DataFrame, default: str) -> DataFrame:
-    """(chunk, actionable, n_edges): main has the default category's actionables; each other category's chunk has its own
-    actionables that main lacks. Edges of a chunk stay whole, so n_edges counts those of its category."""
+    """(chunk, actionable): main has the default category's actionables; each other category's chunk has its own that main
+    lacks. With chunk_edges a chunk is complete, as it keeps all edges of its category."""
     main = e.where(F.col("category") == default).select("actionable").distinct()
-    own = e.groupBy("category", "actionable").agg(F.count("*").alias("n_edges"))
-    rest = own.where(F.col("category") != default).join(main, "actionable", "left_anti").withColumnRenamed("category", "chunk")
-    first = own.where(F.col("category") == default).select(F.lit("main").alias("chunk"), "actionable", "n_edges")
-    return first.unionByName(rest.select("chunk", "actionable", "n_edges"))
+    rest = e.where(F.col("category") != default).select(F.col("category").alias("chunk"), "actionable").distinct().join(main, "actionable", "left_anti")
+    return main.select(F.lit("main").alias("chunk"), "actionable").unionByName(rest.select("chunk", "actionable"))
+
+
+def chunk_edges(e: DataFrame, default: str) -> DataFrame:
+    """All edges, each in the chunk of its category."""
+    return e.withColumn("chunk", F.when(F.col("category") == default, "main").otherwise(F.col("category")))
 
 
 def upsert(have: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -94,14 +133,44 @@ def keyword_search(df: DataFrame, text: str, raw: str) -> DataFrame:
 
 def semantic_search(nodes: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 10, least: float = 0.30, block: int = 1000) -> DataFrame:
     """The k nodes most similar to each query (query_id, query_vector) at `least` similarity or more, ties by id. Queries
-    meet all nodes in blocks of about `block`, each written to the shared folder where there are several; each partition
-    keeps k of a query before anything is shuffled."""
+    come in blocks of about `block`, which are broadcast one at a time as a matrix at length 1; nodes are multiplied with it
+    batch by batch, and a task hands on only the k best it has seen of each query. With several blocks each result is
+    written, so memory doesn't grow with them. Null vectors, and those without length, are similar to nothing."""
+    ship(nodes.sparkSession)
+    kind = nodes.schema[id_col].dataType
+    source = nodes.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias("v"))
+    schema = T.StructType([queries.schema["query_id"], T.StructField(id_col, kind), T.StructField("similarity", T.DoubleType())])
 
     def found(some: DataFrame) -> DataFrame:
-        scored = nodes.select(id_col, vector).join(F.broadcast(some)).withColumn("similarity", F.round(X.cosine(F.col(vector), F.col("query_vector")), 6)).where(F.col("similarity") >= least)
-        # top-k by row_number, which the planner limits per partition before the shuffle
+        rows = some.where("query_vector is not null").select("query_id", F.col("query_vector").cast("array<double>").alias("v")).collect()  # about `block`
+        asked = nodes.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], _units([r["v"] for r in rows])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = asked.value
+            best_s, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), object)
+            for whole in batches:
+                for b in (whole.slice(x, 4096) for x in range(0, whole.num_rows, 4096)):
+                    if not b.num_rows or not len(names):
+                        continue
+                    ids = np.array(b.column(0).to_pylist(), object)
+                    s = np.round(np.maximum(0.0, matrix @ _units(b.column(1).to_pylist(), matrix.shape[1]).T), 6)
+                    # candidates of this batch: the k best of each query, and all that tie with the last
+                    if s.shape[1] > k:
+                        edge = np.partition(s, -k, axis=1)[:, -k][:, None]
+                        keep = (s >= np.maximum(edge, least)).any(axis=0)
+                        s, ids = s[:, keep], ids[keep]
+                    best_s = np.concatenate((best_s, s), axis=1)
+                    best_i = np.concatenate((best_i, np.broadcast_to(ids, s.shape)), axis=1)
+                    if best_s.shape[1] > 8 * k + 4096:
+                        best_s, best_i = _best(best_s, best_i, k)
+            best_s, best_i = _best(best_s, best_i, k)
+            q, at = np.nonzero(best_s >= least)
+            for x in range(0, len(q), 50_000):
+                y = slice(x, x + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in q[y]], to_arrow_type(schema[0].dataType)), pa.array(best_i[q[y], at[y]].tolist(), to_arrow_type(kind)), pa.array(best_s[q[y], at[y]])], names=schema.names)
+
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
-        return scored.select("query_id", id_col, "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+        return source.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
 
     blocks = -(-queries.count() // block)
     if blocks <= 1:
@@ -110,18 +179,57 @@ def semantic_search(nodes: DataFrame, queries: DataFrame, id_col: str, vector: s
     return reduce(DataFrame.unionByName, [cut(found(dealt.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)])
 
 
+def _units(vectors: list, wide: int | None = None) -> np.ndarray:
+    """Vectors at length 1; those of another length, with nulls or without length are 0."""
+    wide = max(map(len, vectors), default=0) if wide is None else wide
+    m = np.array([v if len(v) == wide and None not in v else [0.0] * wide for v in vectors], float).reshape(len(vectors), wide)
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _best(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties by id."""
+    if s.shape[1] <= k:
+        return s, i
+    order = np.argsort(i, axis=1, kind="stable")
+    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
 def best_by_category(e: DataFrame, scores: DataFrame, passing: DataFrame | None = None) -> DataFrame:
     """The best score of each category's actionables, 0 without one; only actionables of `passing` count, if given."""
     kept = scores.join(passing, "actionable", "left_semi") if passing is not None else scores
     return e.select("category", "actionable").join(kept, "actionable", "left").groupBy("category").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("best_score"))
 
 
-def visibility(e: DataFrame, matched: DataFrame, selected: list[str] | None = None) -> DataFrame:
-    """Edges with flags: the actionable matches, its category is selected (all if none is), both: visible."""
-    chosen = F.col("category").isin(selected) if selected else F.lit(True)
-    hit = matched.select("actionable").distinct().withColumn("_m", F.lit(True))
-    out = e.select("category", "actionable").join(hit, "actionable", "left").withColumn("matches", F.coalesce("_m", F.lit(False))).drop("_m")
-    return out.withColumn("selected", chosen).withColumn("visible", F.col("matches") & F.col("selected"))
+def visible_actionables(e: DataFrame, passing: DataFrame | None = None, matched: DataFrame | None = None, selected: list[str] | None = None) -> DataFrame:
+    """(actionable, visible, direct) of each actionable of the edges: visible if it passes the quality filter, matches the search
+    and has a selected category, as far as each is asked for; direct if there is a search that it matches, and it passes."""
+    some = e.groupBy("actionable").agg(F.bool_or(F.col("category").isin(selected)).alias("chosen") if selected else F.first(F.lit(True)).alias("chosen"))
+    for name, frame in (("passes", passing), ("found", matched)):
+        if frame is None:
+            some = some.withColumn(name, F.lit(True))
+        else:
+            some = some.join(frame.select("actionable").distinct().withColumn(name, F.lit(True)), "actionable", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    direct = F.col("passes") & F.col("found") if matched is not None else F.lit(False)
+    return some.select("actionable", (F.col("chosen") & F.col("passes") & F.col("found")).alias("visible"), direct.alias("direct"))
+
+
+def visible_categories(e: DataFrame, nodes: DataFrame, searching: bool, selected: list[str] | None = None, loaded: list[str] | None = None) -> DataFrame:
+    """(category, visible): a category is visible with any of its actionables; one that isn't loaded is visible unless there is a
+    search, or a selection without it."""
+    some = e.join(nodes, "actionable").groupBy("category").agg(F.bool_or("visible").alias("any"))
+    free = F.lit(not searching) & (F.col("category").isin(selected) if selected else F.lit(True))
+    return some.select("category", F.when(F.col("category").isin(loaded) if loaded is not None else F.lit(True), F.col("any")).otherwise(free).alias("visible"))
+
+
+def visibility(e: DataFrame, passing: DataFrame | None = None, matched: DataFrame | None = None, selected: list[str] | None = None, loaded: list[str] | None = None) -> DataFrame:
+    """(category, actionable, visible, direct) of each edge: visible if both its ends are, direct if its actionable is."""
+    nodes = cut(visible_actionables(e, passing, matched, selected))
+    hubs = visible_categories(e, nodes, matched is not None, selected, loaded).withColumnRenamed("visible", "_hub")
+    joined = e.select("category", "actionable").join(nodes, "actionable").join(F.broadcast(hubs), "category")  # at most one row a canonical category
+    return joined.select("category", "actionable", (F.col("visible") & F.col("_hub")).alias("visible"), "direct")
 
 
 def category_frame(spark) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from difflib import SequenceMatcher
+from functools import reduce
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quern.functions import text as X
+from quern.schema import BAD_TITLE_PATTERN, DOI_PATTERN, NAME_LINE_PATTERN, TASKS
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -55,18 +60,19 @@ def two_annotators(answers: DataFrame, fields: list[str], item: str = "item_id",
 
 
 def annotator_pairs(answers: DataFrame, fields: list[str], item: str = "item_id", annotator: str = "annotator_id") -> DataFrame:
-    """(item, r, field, a, b) of every two annotators of an item, a before b by name; r is a's place among the item's."""
+    """(item, r, s, field, a, b) of every two annotators of an item, a before b by name; r and s are their places among the
+    item's."""
     ranked = answers.withColumn("r", F.row_number().over(Window.partitionBy(item).orderBy(annotator)))
     long = ranked.select(item, "r", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("x")).select(item, "r", "x.*")
     other = long.select(item, "field", F.col("r").alias("s"), F.col("v").alias("b"))
-    return long.join(other, [item, "field"]).where("r < s").select(item, "r", "field", F.col("v").alias("a"), "b")
+    return long.join(other, [item, "field"]).where("r < s").select(item, "r", "s", "field", F.col("v").alias("a"), "b")
 
 
-def combined(pairs: DataFrame, item: str = "item_id") -> DataFrame:
-    """(item, field, a, b) from annotator_pairs: a is the first annotator's value, b is NO if anyone says NO, else a's."""
+def combined(pairs: DataFrame, item: str = "item_id", by: tuple[str, ...] = ("task",)) -> DataFrame:
+    """(item, task, field, a, b) from the worklist: a is the first annotator's value, b is NO if anyone says NO, else a's."""
     no = F.bool_or((F.col("a") == "NO") | (F.col("b") == "NO"))
-    one = pairs.groupBy(item, "field").agg(F.min_by("a", "r").alias("a"), no.alias("_no"))
-    return one.select(item, "field", "a", F.when(F.col("_no"), "NO").otherwise(F.col("a")).alias("b"))
+    one = pairs.groupBy(item, *by, "field").agg(F.min_by("a", "r").alias("a"), no.alias("_no"))
+    return one.select(item, *by, "field", "a", F.when(F.col("_no"), "NO").otherwise(F.col("a")).alias("b"))
 
 
 def disagreements(pairs: DataFrame, lead: str, item: str = "item_id") -> DataFrame:
@@ -75,6 +81,25 @@ def disagreements(pairs: DataFrame, lead: str, item: str = "item_id") -> DataFra
     return pairs.join(worth.select(item), item, "left_semi").withColumn("final", F.lit(""))
 
 
+def worklist(pairs: DataFrame, tasks: dict[str, tuple[str, list[str]]] = TASKS, item: str = "item_id") -> DataFrame:
+    """The disagreements of each task among its own fields, by its own lead, with the task's name."""
+    parts = [disagreements(pairs.where(F.col("field").isin(fields)), lead, item).withColumn("task", F.lit(task)) for task, (lead, fields) in tasks.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sheet(work: DataFrame, fields: list[str], item: str = "item_id") -> DataFrame:
+    """One row per item and two annotators, with A_, B_ and final_ columns for each field."""
+    keys = [c for c in (item, "r", "s") if c in work.columns]
+    cells = [F.max(F.when(F.col("field") == f, F.col(c))).alias(f"{n}_{f}") for f in fields for n, c in (("A", "a"), ("B", "b"), ("final", "final"))]
+    return work.where(F.col("field").isin(fields)).groupBy(*keys).agg(*cells)
+
+
+def unresolved(resolved: DataFrame, item: str = "item_id") -> DataFrame:
+    """(task, n_items, n_unresolved): items in dispute, and those for which any field fell back."""
+    items = resolved.groupBy("task", item).agg(F.bool_or("flagged").alias("f"))
+    return items.groupBy("task").agg(F.count("*").alias("n_items"), F.count_if("f").alias("n_unresolved"))
+
+
 def resolve(sheet: DataFrame) -> DataFrame:
     """final where it is given; else NO if either says NO, else a's value, else NO; flagged where it wasn't given."""
     blank = F.coalesce(F.trim("final"), F.lit("")) == ""
@@ -83,11 +108,12 @@ def resolve(sheet: DataFrame) -> DataFrame:
 
 
 def override(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of `first`, replaced whole by those of `second` with the same key."""
-    values = [c for c in first.columns if c not in key]
-    other = second.select(*key, F.struct(*values).alias("_new"))
-    joined = first.join(other, key, "left")
-    return joined.select(*key, *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values])
+    """Rows of `first`, with all that `second` has of the same key in place of their own, nulls and blanks too; columns that
+    only `second` has are added, null where it lacks the key."""
+    values = [c for c in second.columns if c not in key]
+    joined = first.join(second.select(*key, F.struct(*values).alias("_new")), key, "left")
+    kept = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in first.columns if c not in key]
+    return joined.select(*key, *kept, *[F.col(f"_new.{c}").alias(c) for c in values if c not in first.columns])
 
 
 def checked_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -107,17 +133,19 @@ def positional(left: DataFrame, right: DataFrame, key: str, extra: list[str]) ->
     return out
 
 
-def title_candidates(df: DataFrame, key: str, text: str, title: str, most: int = 5) -> DataFrame:
-    """Titles to look up: the given one unless it is bad, then up to `most` lines of more than 15 characters; a line with a
-    name on one of the next two lines also comes with it."""
-    given = df.where(~X.bad_title(F.col(title))).select(key, F.lit(-1).alias("line"), X.clean_title(F.col(title)).alias("candidate"))
-    lines = df.select(key, F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), X.strip), lambda x: x != "").alias("ls"))
-    name = r"^[A-ZÀ-Ý][\w.À-ü'-]+(\s+(and|,)?\s*[A-ZÀ-Ý][\w.À-ü'-]+){1,4}$"
-    each = lines.select(key, "ls", F.posexplode("ls").alias("line", "s")).where("length(s) > 15")
-    near = F.filter(F.slice("ls", F.col("line") + 2, 2), lambda x: x.rlike(name))
-    each = each.select(key, "line", F.when(F.size(near) > 0, F.concat_ws(" ", "s", near[0])).otherwise(F.col("s")).alias("candidate"))
-    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("line"))).where(F.col("_r") <= most).drop("_r")
-    return given.unionByName(first)
+def title_candidates(df: DataFrame, key: str, text: str, title: str, document_title: str | None = None, most: int = 5) -> DataFrame:
+    """(key, line, query, title): what to look up, and the title to compare hits with. The given title (line -2) and the
+    document's (-1) unless they are bad, up to `most` of the page's first lines of more than 15 characters that are no bad
+    title, and each such line once more with the first name that one of the next two lines, blank ones included, holds."""
+    given = [(-2, title)] + ([(-1, document_title)] if document_title else [])
+    own = [df.where(~X.bad_title(F.col(c))).select(key, F.lit(n).alias("line"), X.clean_title(F.col(c)).alias("query"), X.clean_title(F.col(c)).alias("title")) for n, c in given]
+    lines = df.select(key, F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), X.strip).alias("ls"))
+    # numbered within each page, before any shuffle
+    kept = F.slice(F.filter(F.transform("ls", lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: (F.length(x["s"]) > 15) & ~X.bad_title(x["s"])), 1, most)
+    each = lines.select(key, "ls", F.explode(kept).alias("x")).select(key, "ls", "x.line", "x.s")
+    near = F.filter(F.slice("ls", F.col("line") + 2, 2), lambda x: x.rlike(NAME_LINE_PATTERN))
+    asked = F.array_compact(F.array(F.col("s"), F.when(F.size(near) > 0, F.concat_ws(" ", "s", F.get(near, F.lit(0))))))
+    return reduce(DataFrame.unionByName, [*own, each.select(key, "line", F.explode(asked).alias("query"), F.col("s").alias("title"))])
 
 
 def best_hit(hits: DataFrame, key: str, least: float = 0.55, sure: float = 0.85) -> DataFrame:
@@ -129,14 +157,70 @@ def best_hit(hits: DataFrame, key: str, least: float = 0.55, sure: float = 0.85)
     return best.select(key, "h.*")
 
 
-def resolve_metadata(df: DataFrame, path: str, resolver: Callable[[], Callable[[str], tuple[str | None, str | None]]]) -> DataFrame:
-    """Adds resolved title and identifier; each distinct path is looked up once. resolver makes a function in each task."""
+class Library(Protocol):
+    """What repair asks of the outside: a file's first pages and document title, a registry by identifier and by search."""
+
+    def page(self, path: str) -> str: ...
+
+    def document_title(self, path: str) -> str: ...
+
+    def by_doi(self, doi: str) -> tuple[str, str] | None: ...
+
+    def search(self, query: str) -> list[dict]: ...
+
+
+_REPAIRED = [("resolved_title", T.StringType()), ("resolved_id", T.StringType()), ("method", T.StringType()), ("confidence", T.StringType()), ("match_score", T.DoubleType()), ("author_corroborated", T.BooleanType())]
+
+
+def _bad(title: str) -> bool:
+    return len(title) < 6 or bool(re.search(BAD_TITLE_PATTERN, title)) or title.replace(".", "").isdigit()
+
+
+def repaired(library: Library, path: str, title: str | None, least: float = 0.55, sure: float = 0.85, high: float = 0.9) -> tuple:
+    """Title and identifier of one file: by the identifier on its pages if the registry knows it, else by the best hit of a
+    search with its candidate titles, else unresolved. A hit counts if one of its authors is named in the first twelve
+    lines, which adds 0.2 to its similarity, or if it is alike enough on its own (`sure`)."""
+    page = library.page(path) or ""
+    found = re.search(DOI_PATTERN, page)
+    known = library.by_doi(found[0].rstrip(".,;)")) if found else None
+    if known:
+        return known[0], known[1], "page", "high", None, None
+    old, info = re.sub(r"^\*+|\*+$", "", (title or "").strip()).strip(), (library.document_title(path) or "").strip()
+    lines = [x.strip() for x in page.splitlines()]
+    asked = [(t, t) for t in (old, info) if not _bad(t)]
+    chosen = [(k, x) for k, x in enumerate(lines) if len(x) > 15 and not _bad(x)][:5]
+    asked += [(x, x) for _, x in chosen]
+    for k, x in chosen:
+        asked += [(f"{x} {y}", x) for y in [y for y in lines[k + 1 : k + 3] if re.match(NAME_LINE_PATTERN, y)][:1]]
+    byline, best = "\n".join(page.splitlines()[:12]).lower(), None
+    for query, t in asked:
+        for hit in library.search(query)[:3]:
+            if not hit.get("title") or not hit.get("id"):
+                continue
+            alike = SequenceMatcher(None, t.lower(), hit["title"].lower()).ratio()
+            named = any(len(f.strip()) > 2 and f.strip().lower() in byline for f in hit.get("families") or [])
+            if (named or alike >= sure) and (best is None or alike + 0.2 * named > best[0]):
+                best = (alike + 0.2 * named, alike, named, hit["title"], hit["id"])
+    if best and best[1] >= least:
+        return best[3], best[4], "search", "high" if best[2] or best[1] >= high else "medium", round(best[1], 3), best[2]
+    return old or info or None, "", "unresolved", "low", None, None
+
+
+def repair_metadata(df: DataFrame, path: str, title: str, library: Callable[[], Library]) -> DataFrame:
+    """Adds (resolved_title, resolved_id, method, confidence, match_score, author_corroborated). Each distinct path is looked up
+    once, with the smallest of its titles; library makes the outside in each task, and a file that fails is unresolved."""
 
     def run(batches):
-        look = resolver()
+        outside = library()
         for b in batches:
-            found = [look(p) for p in b[path]]
-            yield pd.DataFrame({path: b[path], "resolved_title": [x[0] for x in found], "resolved_id": [x[1] for x in found]})
-
-    schema = T.StructType([df.schema[path], T.StructField("resolved_title", T.StringType()), T.StructField("resolved_id", T.StringType())])
-    return df.join(df.select(path).distinct().mapInPandas(run, schema), path, "left")
+            rows = []
+            for p, t in zip(b[path], b[title]):
+                try:
+                    rows.append((p, *repaired(outside, p, t)))
+                except Exception:  # noqa: BLE001
+                    rows.append((p, t, "", "unresolved", "low", None, None))
+            yield pd.DataFrame(rows, columns=[path, *[n for n, _ in _REPAIRED]])
+
+    schema = T.StructType([df.schema[path], *[T.StructField(n, k) for n, k in _REPAIRED]])
+    once = df.where(F.col(path).isNotNull()).groupBy(path).agg(F.min(title).alias(title))
+    return df.join(once.mapInPandas(run, schema), path, "left")

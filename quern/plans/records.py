@@ -6,28 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import text as X
 from quern.operators import cluster, graph, metrics, responses, similarity, timewindow, validation
+from quern.plans.pairs import BUILT_IN_PAIRS
 from quern.runtime import cut, table
-from quern.schema import CATEGORIES, DEFAULT_THETA
-
-#: Labelled sentence pairs for calibration without a benchmark file, with scores from 0 to 5.
-BUILT_IN_PAIRS = [
-    ("Use Python for NLP4RE tool development to ensure reusability.", "Implement NLP4RE solutions in Python to improve reusability of existing tools.", 4.8),
-    ("Configure the depth parameter to control Wikipedia traversal depth.", "Set the depth parameter to adjust how deeply Wikipedia categories are traversed.", 4.6),
-    ("Use WikiDoMiner to generate a domain-specific corpus from requirements.", "Apply WikiDoMiner to build a domain corpus for your requirements specification.", 4.5),
-    ("Adopt Python libraries for NLP to avoid Java maintenance issues.", "Use Python-based NLP libraries to prevent outdated Java dependency problems.", 4.3),
-    ("Prioritize code smells in the predominant programming paradigm.", "Focus code smell research on the dominant paradigm of the target language.", 4.2),
-    ("Release tools under open-source licenses to enable community reuse.", "Publish NLP4RE tools as open-source to foster community adoption and reuse.", 4.4),
-    ("Evaluate models on domain-specific benchmarks rather than generic ones.", "Test NLP tools on domain-specific datasets not only standard NLP benchmarks.", 4.1),
-    ("Pre-train language models on domain corpora before fine-tuning.", "Fine-tune pre-trained models on domain-specific text prior to deployment.", 3.9),
-    ("Configure corpus depth parameter for Wikipedia category traversal.", "Use WikiDoMiner to generate domain-specific corpora for NLP tasks.", 2.8),
-    ("Implement tools in Python for reusability across NLP4RE ecosystem.", "Release NLP tools under open-source licenses for community adoption.", 2.2),
-    ("Use Python for NLP4RE tool development.", "Prioritize code smells in the predominant paradigm.", 0.8),
-    ("Configure depth parameter for Wikipedia traversal.", "Release tools under open-source licenses.", 0.5),
-    ("Apply WikiDoMiner to generate domain corpus.", "Use static analysis to detect Python anti-patterns.", 0.3),
-    ("Adopt Python for NLP tooling.", "Pre-train language models on domain corpora.", 1.2),
-    ("Configure corpus depth for Wikipedia traversal.", "Evaluate models on domain-specific benchmarks.", 0.9),
-    ("Use Python libraries instead of Java.", "Prioritize smells in dominant programming paradigm.", 0.4),
-]
+from quern.schema import CATEGORIES, DEFAULT_THETA, TASKS
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +22,13 @@ def similar_pairs_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(g, "model", 0.3).select(F.col("g").alias("venue"), "i", "j", F.round("sim", 6).alias("sim"))
 
 
+def similar_pairs_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows with an embedding (of the same number) by the weighted mean of words and vectors, within venues, above 0.3."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    g = similarity.grams(_pool(spark, sf_dir).join(e, "row_id"), "venue", "row_id", "text", ["model", "embedding"])
+    return similarity.similar_pairs(g, "model", 0.3, "embedding").select(F.col("g").alias("venue"), "i", "j", F.round("sim", 5).alias("sim"))
+
+
 def cluster_reconcile(spark: SparkSession, sf_dir: str, theta: float = 0.3) -> DataFrame:
     """Candidates of all logged answers, clustered within their article and reconciled to one row per cluster."""
     pool = cut(responses.candidates(responses.first_lines(table(spark, sf_dir, "responses"))))
@@ -72,9 +60,9 @@ def builtin_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def builtin_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse and fine theta on the built-in pairs, taken as two benchmarks of different thresholds."""
     s = builtin_pair_scores(spark, sf_dir)
-    parts = [s.where((F.col("score") >= 4.0) | (F.col("score") <= low)).select(F.lit(n).alias("benchmark"), "sim", (F.col("score") >= 4.0).alias("same")) for n, low in (("a", 2.0), ("b", 2.5))]
+    parts = [similarity.unambiguous(s, "score", 4.0, low).select(F.lit(n).alias("benchmark"), "sim", "same") for n, low in (("a", 2.0), ("b", 2.5))]
     coarse, fine, f1 = similarity.calibrate(cut(parts[0].unionByName(parts[1])))
-    return spark.createDataFrame([(coarse, fine, f1)], "coarse double, fine double, average_f1 double")
+    return spark.createDataFrame([(coarse, fine, round(f1, 6))], "coarse double, fine double, average_f1 double")
 
 
 def _vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +95,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auc(_judged(spark, sf_dir), F.col("truth"), F.col("score")).select(F.round("auc", 6).alias("auc"))
 
 
-_FIELDS = ["actionable_valid", "evidence_valid", "impact_valid", "sound_valid", "precise_valid", "cat_onboarding", "cat_code_standards", "cat_testing_qa", "cat_community", "cat_documentation", "cat_governance", "cat_security", "cat_cicd"]
+_FIELDS = [f for _, fields in TASKS.values() for f in fields]
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,21 +111,34 @@ def _every_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kappa_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cohen's kappa, which is of two annotators: the first two by name of each item."""
-    k = metrics.kappa(_two(spark, sf_dir), ["field"], "a", "b")
+    """Cohen's kappa over every two annotators of an item, a before b by name."""
+    k = metrics.kappa(_every_two(spark, sf_dir), ["field"], "a", "b")
     k = k.select("field", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
     return k.withColumn("reading", X.interpret_kappa(F.col("kappa")))
 
 
 def disagreement_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields of the items in dispute, for every two annotators of an item."""
-    return validation.disagreements(_every_two(spark, sf_dir), "actionable_valid").drop("r")
+    """All fields of a task for the items in dispute in it, for every two annotators of an item."""
+    return validation.worklist(_every_two(spark, sf_dir)).drop("r", "s", "task")
+
+
+def disagreement_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first task's items in dispute, with columns A_, B_ and final_ for each field."""
+    work = validation.worklist(_every_two(spark, sf_dir)).where("task = 'task1'")
+    return validation.sheet(work, TASKS["task1"][1]).withColumns({c: F.col(c).cast("long") for c in ("r", "s")})
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.resolve(validation.combined(validation.worklist(_every_two(spark, sf_dir))).withColumn("final", F.lit("")))
 
 
 def conservative_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One value for each item and field in dispute: NO if any annotator says NO, else the first's by name."""
-    sheet = validation.combined(validation.disagreements(_every_two(spark, sf_dir), "actionable_valid")).withColumn("final", F.lit(""))
-    return validation.resolve(sheet).select("item_id", "field", "resolved", F.col("flagged").cast("long").alias("flagged"))
+    return _resolved(spark, sf_dir).select("item_id", "field", "resolved", F.col("flagged").cast("long").alias("flagged"))
+
+
+def unresolved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.unresolved(_resolved(spark, sf_dir))
 
 
 def composite_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +227,24 @@ def category_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.chunks(_edges(spark, sf_dir), CATEGORIES[0])
+    """How many actionables and edges each chunk has, when the first category by name is the default."""
+    e = cut(_edges(spark, sf_dir))
+    default = graph.default_category(e, "none of them")
+    nodes = graph.chunks(e, default).groupBy("chunk").agg(F.count("*").alias("n_actionables"))
+    return graph.chunk_edges(e, default).groupBy("chunk").agg(F.count("*").alias("n_edges")).join(nodes, "chunk", "left").fillna(0, ["n_actionables"])
+
+
+def graph_payload_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = graph.payload(table(spark, sf_dir, "final_set"))["actionables"]
+    return p.select("id", "label", "actionable", F.array_join("categories", " | ").alias("categories"), "article_title", "impact", "evidence", "avg_confidence", "support", "search_blob")
+
+
+def graph_payload_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.payload(table(spark, sf_dir, "final_set"))["edges"].select("id", "from", "to")
+
+
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.payload(table(spark, sf_dir, "final_set"))["stats"]
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +264,10 @@ def category_best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = graph.visibility(_edges(spark, sf_dir), _hits(spark, sf_dir), CATEGORIES[2:5])
-    return v.groupBy("category").agg(F.count("*").alias("n"), F.count_if("matches").alias("n_matches"), F.count_if("visible").alias("n_visible"))
+    """Edges by category: all, those whose sound actionable matches, and those that are visible with three categories selected."""
+    m = graph.merged_actionables(table(spark, sf_dir, "final_set")).where(X.quality(F.col("sound"), "yes"))
+    v = graph.visibility(cut(_edges(spark, sf_dir)), m, _hits(spark, sf_dir), CATEGORIES[2:5])
+    return v.groupBy("category").agg(F.count("*").alias("n"), F.count_if("direct").alias("n_matches"), F.count_if("visible").alias("n_visible"))
 
 
 def semantic_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +295,7 @@ def feature_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.groupBy("project", "month").agg(F.count("*").alias("n"), F.sum("importance").alias("importance")).withColumn("month", F.col("month").cast("long"))
 
 
-_F = [similar_pairs_lexical, cluster_reconcile, reconcile_default_theta, cluster_centroid, builtin_pair_scores, builtin_calibration, theta_calibration_coarse, theta_calibration_best, roc_points, roc_auc, kappa_by_field, disagreement_worklist, conservative_resolution, composite_validity, confusion_prf, plain_metrics, weighted_metrics, crosswalk_error_positions, stratified_sample, stratum_report, blinded_export, ground_truth, positional_merge, sample_lookup, graph_edges, graph_nodes, graph_category_ids, category_degree, category_chunks, keyword_search, category_best_score, graph_visibility, semantic_search_topk, low_features, feature_recommendations]
+_F = [similar_pairs_lexical, similar_pairs_ensemble, disagreement_sheet, unresolved_counts, graph_payload_nodes, graph_payload_edges, graph_stats, cluster_reconcile, reconcile_default_theta, cluster_centroid, builtin_pair_scores, builtin_calibration, theta_calibration_coarse, theta_calibration_best, roc_points, roc_auc, kappa_by_field, disagreement_worklist, conservative_resolution, composite_validity, confusion_prf, plain_metrics, weighted_metrics, crosswalk_error_positions, stratified_sample, stratum_report, blinded_export, ground_truth, positional_merge, sample_lookup, graph_edges, graph_nodes, graph_category_ids, category_degree, category_chunks, keyword_search, category_best_score, graph_visibility, semantic_search_topk, low_features, feature_recommendations]
 QUERIES = {f.__name__: f for f in _F}
 
 from quern.plans.records_sql import ORACLES  # noqa: E402,F401

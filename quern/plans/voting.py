@@ -83,10 +83,32 @@ def bubble_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = votes.flags(table(spark, sf_dir, "final_set")).withColumn("cat", F.explode(F.array_distinct(X.canonical_categories(F.col("category")))))
+    """Summaries by category, rows expanded to all categories that a part of the field holds or is held by."""
+    f = votes.flags(table(spark, sf_dir, "final_set")).withColumn("cat", F.explode(X.fuzzy_categories(F.col("category"))))
     return votes.summary(f, ["cat"])
 
 
+def edged_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence between twelve edges, and support around whole numbers, empty bins included."""
+    r = table(spark, sf_dir, "reconciled_actionables")
+    a = metrics.edged_histogram(r, F.col("avg_confidence"), [round(k / 11, 6) for k in range(12)]).withColumn("variable", F.lit("avg_confidence"))
+    return a.unionByName(metrics.edged_histogram(r, F.col("support"), [k - 0.5 for k in range(7)]).withColumn("variable", F.lit("support"))).select("variable", "bin", "n")
+
+
+def category_verdict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 where a row has the category and the verdict of its soundness is YES, for each row and category."""
+    s = table(spark, sf_dir, "scored").select("row_id", "sound_verdict")
+    f = table(spark, sf_dir, "final_set").select("row_id", X.canonical_categories(F.col("category")).alias("cs")).join(s, "row_id", "left")
+    return f.select("row_id", *[(F.array_contains("cs", c) & F.coalesce(F.col("sound_verdict") == "YES", F.lit(False))).cast("long").alias(f"c{k}") for k, c in enumerate(CATEGORIES, 1)])
+
+
+def final_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, shares of YES in percent, and the mean number of categories, with and without rows that have none."""
+    f = table(spark, sf_dir, "final_set").select("*", F.size(X.canonical_categories(F.col("category"))).alias("k"))
+    share = lambda c: F.round(F.avg(X.truthy(F.col(c)).cast("double")) * 100, 4)
+    return f.agg(F.count("*").alias("n"), *[F.count_if(X.truthy(F.col(c))).alias(f"n_{c}") for c in _DIMS], *[share(c).alias(f"pct_{c}") for c in _DIMS], F.count_if(F.col("k") > 0).alias("n_categorised"), F.round(F.avg("k"), 6).alias("mean_categories"), F.round(F.avg(F.when(F.col("k") > 0, F.col("k"))), 6).alias("mean_of_categorised"))
+
+
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = F.filter(F.array(*[F.when(X.model_present(F.col("models_present"), m), F.lit(m)) for m in MODELS]), lambda x: x.isNotNull())
     return votes.summary(votes.flags(table(spark, sf_dir, "final_set")).withColumn("model", F.explode(present)), ["model"])
@@ -138,7 +160,7 @@ def reconciled_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("row_id", "venue", "support", F.row_number().over(w).cast("long").alias("place"))
 
 
-_F = [majority_vote_verdicts, vote_rates_by_model, vote_agreement_depth, verdict_counts, vote_matrix, scoring_summary, multi_label_category_vote, venue_group_share, describe_numeric, histogram_bins, boxplot_stats, confidence_overlay, bubble_frame, category_summary, model_summary, category_expand_fuzzy, category_frequency, top5_rates, categories_per_row, category_model_matrix, content_dedup_first, spread_verdicts, reconciled_ranking]
+_F = [edged_histogram, category_verdict_matrix, final_set_summary, majority_vote_verdicts, vote_rates_by_model, vote_agreement_depth, verdict_counts, vote_matrix, scoring_summary, multi_label_category_vote, venue_group_share, describe_numeric, histogram_bins, boxplot_stats, confidence_overlay, bubble_frame, category_summary, model_summary, category_expand_fuzzy, category_frequency, top5_rates, categories_per_row, category_model_matrix, content_dedup_first, spread_verdicts, reconciled_ranking]
 QUERIES = {f.__name__: f for f in _F}
 
 _COUNT = lambda d: "CAST(" + " + ".join(f"(CASE WHEN upper(trim({d}_{m})) = 'YES' THEN 1 ELSE 0 END)" for m in MODELS) + " AS BIGINT)"
@@ -175,7 +197,10 @@ ORACLES = {
     "boxplot_stats": f"WITH b AS (SELECT {_VENUE} AS venue_group, avg_confidence AS v FROM reconciled_actionables WHERE avg_confidence IS NOT NULL), q AS (SELECT venue_group, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM b GROUP BY 1) SELECT venue_group, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, round(min(v), 6) AS whisker_low, round(max(v), 6) AS whisker_high FROM b JOIN q USING (venue_group) WHERE v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1",
     "confidence_overlay": " UNION ALL ".join(f"SELECT '{t}' AS dataset, row_id, avg_confidence FROM {t} WHERE avg_confidence IS NOT NULL" for t in ("reconciled_actionables", "scored", "final_set")),
     "bubble_frame": f"SELECT row_id, coalesce(avg_confidence, 0.5) AS confidence, coalesce({_FRACTION}, 0.5) * 400 AS size, (SELECT count(*) FROM (SELECT {_STRIP('unnest(string_split(category, chr(124)))')} AS part) WHERE part IN ({', '.join(repr(c) for c in CATEGORIES)})) AS n_categories FROM final_set",
-    "category_summary": f"SELECT cat, {_SUMMARY} FROM ({_FLAGS}) JOIN {_CANON} USING (row_id) GROUP BY cat",
+    "category_summary": f"SELECT cat, {_SUMMARY} FROM ({_FLAGS}) JOIN ({_FUZZY}) USING (row_id) GROUP BY cat",
+    "edged_histogram": "WITH v AS (SELECT 'avg_confidence' AS variable, avg_confidence AS v FROM reconciled_actionables UNION ALL SELECT 'support', support FROM reconciled_actionables), b AS (SELECT 'avg_confidence' AS variable, k AS bin, round(CAST(k AS DOUBLE) / 11, 6) AS low, round(CAST(k + 1 AS DOUBLE) / 11, 6) AS high, k = 10 AS last FROM range(11) r(k) UNION ALL SELECT 'support', k, k - 0.5, k + 0.5, k = 5 FROM range(6) r(k)) SELECT b.variable, bin, count(v.v) AS n FROM b LEFT JOIN v ON v.variable = b.variable AND v.v >= low AND (v.v < high OR last AND v.v = high) GROUP BY ALL",
+    "category_verdict_matrix": "WITH p AS (SELECT row_id, CASE WHEN category IS NULL THEN [] ELSE list_transform(string_split(category, '|'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) END AS parts FROM final_set) SELECT p.row_id, " + ", ".join(f"CAST(list_contains(parts, '{c}') AND coalesce(sound_verdict = 'YES', false) AS BIGINT) AS c{k}" for k, c in enumerate(CATEGORIES, 1)) + " FROM p LEFT JOIN scored USING (row_id)",
+    "final_set_summary": f"WITH k AS (SELECT row_id, (SELECT count(*) FROM (SELECT {_STRIP('unnest(string_split(category, chr(124)))')} AS part) WHERE part IN ({', '.join(repr(c) for c in CATEGORIES)})) AS k, {_TRUE('sound')} AS s, {_TRUE('precise')} AS p FROM final_set) SELECT count(*) AS n, count(*) FILTER (s) AS n_sound, count(*) FILTER (p) AS n_precise, round(avg(CASE WHEN s THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_sound, round(avg(CASE WHEN p THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_precise, count(*) FILTER (k > 0) AS n_categorised, round(avg(k), 6) AS mean_categories, round(avg(k) FILTER (k > 0), 6) AS mean_of_categorised FROM k",
     "model_summary": f"SELECT model, {_SUMMARY} FROM ({_FLAGS}) JOIN (SELECT unnest({MODELS!r}) AS model) ON list_bool_or(list_transform(regexp_split_to_array(lower(coalesce(models_present, '')), '[|,\\s''\\[\\]\"]+'), lambda t: contains(t, model))) GROUP BY model",
     "category_expand_fuzzy": _FUZZY,
     "category_frequency": f"SELECT cat, count(*) AS n FROM ({_FUZZY}) GROUP BY cat",

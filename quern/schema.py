@@ -32,14 +32,17 @@ MISSING = ["", "none", "nan", "null", "n/a"]
 #: Features of a project whose fall calls for advice.
 PROJECT_FEATURES = ["s_avg_clustering_coef", "t_num_dev_nodes", "t_num_dev_per_file", "t_graph_density", "st_num_dev", "t_net_overlap"]
 
+#: The fields of the two validation tasks, and the field whose answer makes an item count in each.
+TASKS = {
+    "task1": ("actionable_valid", ["actionable_valid", "evidence_valid", "impact_valid"]),
+    "task2": ("sound_valid", ["sound_valid", "precise_valid", "cat_onboarding", "cat_code_standards", "cat_testing_qa", "cat_community", "cat_documentation", "cat_governance", "cat_security", "cat_cicd"]),
+}
+#: Patterns of identifiers, of titles that are none, and of lines that hold names.
+DOI_PATTERN = r"(?i)10\.\d{4,9}/[^\s\"<>\]\)]+"
+BAD_TITLE_PATTERN = r"(?i)^(microsoft word|untitled|document\d*|\d+)\b"
+NAME_LINE_PATTERN = r"^[A-ZÀ-Ý][\w.À-ü'-]+(\s+(and|,)?\s*[A-ZÀ-Ý][\w.À-ü'-]+){1,4}$"
+
 RECOMMENDATION = T.StructType([T.StructField(c, T.StringType()) for c in ("recommendation", "positive_impact", "evidence")] + [T.StructField("confidence", T.DoubleType())])
-ANSWER = T.StructType([T.StructField("message", T.StringType()), T.StructField("error", T.StringType()), T.StructField("recommendations", T.ArrayType(RECOMMENDATION))])
-RECONCILED = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("article_title", "venue", "article_link")]
-    + [T.StructField("cluster_id", T.IntegerType()), T.StructField("support", T.LongType()), T.StructField("support_fraction", T.StringType()), T.StructField("models_present", T.StringType())]
-    + [T.StructField(c, T.StringType()) for c in ("actionable", "impact", "evidence")]
-    + [T.StructField("avg_confidence", T.DoubleType()), T.StructField("centroid_confidence", T.DoubleType())]
-)
 
 
 def with_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:

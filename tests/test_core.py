@@ -293,11 +293,81 @@ def test_validation(spark):
     with pytest.raises(ValueError):
         validation.positional(df, df.where("k < 5"), "k", ["s"])
     pages = spark.createDataFrame([("a", "14", "Short\nA title that is long enough\nJane Doe and Max Roe\nAnother long line of text here")], "k string, t string, page string")
-    assert [r.candidate for r in validation.title_candidates(pages.select("k", "page", "t"), "k", "page", "t").orderBy("line").collect()] == ["A title that is long enough Jane Doe and Max Roe", "Jane Doe and Max Roe", "Another long line of text here"]
+    got = [(r.line, r.query, r.title) for r in validation.title_candidates(pages.select("k", "page", "t"), "k", "page", "t").orderBy("line", F.length("query")).collect()]
+    long = "A title that is long enough"
+    assert got == [(1, long, long), (1, long + " Jane Doe and Max Roe", long), (2, "Jane Doe and Max Roe", "Jane Doe and Max Roe"), (3, "Another long line of text here", "Another long line of text here")]
+    # a blank line counts for the two that may hold a name, and a bad title is no candidate
+    pages = spark.createDataFrame([("a", "A given title", "Document12 of the file system\nThe work of open teams\n\nJane Doe\nThe rest of the whole page\n\n\nMax Roe", "Info title")], "k string, t string, page string, i string")
+    got = [(r.line, r.query) for r in validation.title_candidates(pages, "k", "page", "t", "i").orderBy("line", F.length("query")).collect()]
+    assert got == [(-2, "A given title"), (-1, "Info title"), (1, "The work of open teams"), (1, "The work of open teams Jane Doe"), (4, "The rest of the whole page")]
     hits = spark.createDataFrame([("a", "x", 0.7, True), ("a", "y", 0.86, False), ("b", "z", 0.8, False)], "k string, title string, similarity double, author_match boolean")
     assert [(r.k, r.title) for r in validation.best_hit(hits, "k").collect()] == [("a", "x")]
 
 
+class _Shelf:
+    """A library in memory."""
+
+    asked: list[str] = []
+
+    def page(self, path):
+        if path == "broken":
+            raise OSError
+        return {"doi": "See 10.1145/99.1).", "gone": "See 10.1145/404.\nPlanning of releases in teams\nAnn Byline", "search": "Planning of releases in teams\nAnn Byline", "none": "x"}.get(path, "")
+
+    def document_title(self, path):
+        return "Planning of releases in a team" if path == "info" else "untitled"
+
+    def by_doi(self, doi):
+        return ("By identifier", doi) if doi == "10.1145/99.1" else None
+
+    def search(self, query):
+        return [{"title": "Planning of releases in teams", "id": "10.1/1", "families": ["Other"]}, {"title": "Planning releases", "id": "10.1/2", "families": ["Byline"]}, {"title": "", "id": "10.1/3"}]
+
+
+def test_metadata_repair(spark):
+    rows = [("doi", "t"), ("gone", None), ("search", "**A wrong title**"), ("none", "12"), ("info", None), ("broken", "kept"), (None, "x"), ("doi", "t")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "path string, title string, method_count int")
+    got = {(r.path, r.resolved_title, r.resolved_id, r.method, r.confidence) for r in validation.repair_metadata(df, "path", "title", _Shelf).collect()}
+    whole = "Planning of releases in teams"
+    assert got == {
+        ("doi", "By identifier", "10.1145/99.1", "page", "high"), ("gone", whole, "10.1/1", "search", "high"), ("search", whole, "10.1/1", "search", "high"),
+        ("none", "12", "", "unresolved", "low"), ("info", whole, "10.1/1", "search", "high"), ("broken", "kept", "", "unresolved", "low"), (None, None, None, None, None),
+    }
+    byline = spark.createDataFrame([(["Li", "Roe"], "by roe\n"), (["Li"], "li"), (["Roe"], "\n" * 12 + "roe"), (None, None)], "f array<string>, p string")
+    assert [r[0] for r in byline.select(X.author_in_byline(F.col("f"), F.col("p"))).collect()] == [True, False, False, False]
+
+
+def test_right_side_wins(spark):
+    first = spark.createDataFrame([(1, "a", "b"), (2, "a", "b")], "k long, x string, y string")
+    second = spark.createDataFrame([(1, None, "new")], "k long, x string, z string")
+    assert sorted(tuple(r) for r in validation.override(first, second, ["k"]).select("k", "x", "y", "z").collect()) == [(1, None, "b", "new"), (2, "a", "b", None)]
+
+
+def test_visibility_rules(spark):
+    e = spark.createDataFrame([("A", "x"), ("B", "x"), ("B", "y"), ("C", "z")], "category string, actionable string")
+    only = lambda *names: spark.createDataFrame([(n,) for n in names], "actionable string")
+    see = lambda **k: {(r.category, r.actionable) for r in graph.visibility(e, **k).where("visible").collect()}
+    assert see() == {("A", "x"), ("B", "x"), ("B", "y"), ("C", "z")}
+    # an edge shows if both its ends do, also to a category that isn't selected
+    assert see(selected=["A"]) == {("A", "x"), ("B", "x")}
+    assert see(passing=only("y", "z"), matched=only("x", "y"), selected=["B", "C"]) == {("B", "y")}
+    assert {(r.actionable, r.direct) for r in graph.visible_actionables(e, only("y"), only("x", "y")).collect()} == {("x", False), ("y", True), ("z", False)}
+    nodes = graph.visible_actionables(e.where("category = 'A'"))
+    hubs = lambda **k: {r.category for r in graph.visible_categories(e, graph.visible_actionables(e), loaded=["A"], **k).where("visible").collect()}
+    assert nodes.count() == 1 and hubs(searching=False) == {"A", "B", "C"} and hubs(searching=True) == {"A"} and hubs(searching=False, selected=["B"]) == {"A", "B"}
+    assert graph.default_category(e, "B") == "B" and graph.default_category(e, "none") == "A" and graph.default_category(e.limit(0), "A") is None
+
+
+def test_stems_and_scorers(spark):
+    words = "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner adjustable defensible irritant replacement adjustment dependent adoption communism activate angulariti homologous effective bowdlerize probate rate cease controll roll"
+    stems = "caress poni ti caress cat feed agre plaster bled motor sing conflat troubl size hop tan fall hiss fizz fail file happi sky relat condit ration vietnam predic oper feudal decis hope callous formal sensit sensibl triplic form formal electr electr hope good reviv allow infer airlin adjust defens irrit replac adjust depend adopt commun activ angular homolog effect bowdler probat rate ceas control roll"
+    assert [udfs.stem(w) for w in words.split()] == stems.split()
+    df = spark.createDataFrame([("ab", "abc"), (None, "x")], "a string, b string")
+    length = udfs.scorer(lambda: lambda a, b: [len(x) / len(y) for x, y in zip(a, b)])
+    assert [round(r[0], 3) for r in df.select(length("a", "b")).collect()] == [0.667, 0.0]
+    assert [one(spark, X.fixed, v, "double") for v in (0.12345, None)] == ["0.123", r"\textcolor{red}{[PENDING]}"] and one(spark, lambda c: X.fixed(c, as_percent=True), 12.34, "double") == r"12.3\%"
+
+
 class _Session:
     """A session of one setting."""
 

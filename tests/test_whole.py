@@ -47,8 +47,11 @@ def test_third_annotators_count(spark, tmp_path):
     work = records.disagreement_worklist(spark, str(tmp_path))
     assert work.columns == ["item_id", "field", "a", "b", "final"]
     assert sorted((r.item_id, r.a, r.b) for r in work.where("field = 'sound_valid'").collect()) == [("i", "YES", "NO"), ("i", "YES", "NO"), ("i", "YES", "YES"), ("l", "YES", "YES")]
+    # the first task's fields are not in dispute, and are judged apart
+    assert work.where("field = 'impact_valid'").count() == 0 and records.disagreement_sheet(spark, str(tmp_path)).count() == 0
+    assert [tuple(r) for r in records.unresolved_counts(spark, str(tmp_path)).collect()] == [("task2", 2, 2)]
     resolved = {(r.item_id, r.field): r.resolved for r in records.conservative_resolution(spark, str(tmp_path)).collect()}
-    assert len(resolved) == 2 * len(fields) and resolved["i", "sound_valid"] == "NO" and resolved["i", "precise_valid"] == "YES" and resolved["l", "precise_valid"] == "N/A"
+    assert len(resolved) == 2 * 10 and resolved["i", "sound_valid"] == "NO" and resolved["i", "precise_valid"] == "YES" and resolved["l", "precise_valid"] == "N/A"
     truth = {(r.item_id, r.field): r.value for r in records.ground_truth(spark, str(tmp_path)).collect()}
     assert len(truth) == 3 * len(fields) and truth["i", "sound_valid"] == "NO" and truth["j", "sound_valid"] == "YES"
 
