@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, functions as F
 
@@ -211,6 +212,32 @@ def merged_text(*columns: Column) -> Column:
     return F.concat_ws(" . ", *[F.nullif(strip(c), F.lit("")) for c in columns])
 
 
+def stated(c: Column, missing: str = "Not explicitly stated") -> Column:
+    """The stripped text, or what stands for a missing one: null, blank or nan."""
+    bare = strip(F.coalesce(c.cast("string"), F.lit("")))
+    return F.when(F.lower(bare).isin("", "nan"), missing).otherwise(bare)
+
+
+def render(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by its value; null counts as empty, double braces stand for themselves."""
+    parts: list[Column] = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [F.coalesce(values[name].cast("string"), F.lit(""))] if name is not None else []
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def category_prompt(actionable: Column, lead: str = "Which of these categories does the recommendation belong to?", ask: str = "Name the numbers only, with commas between them; 0 if there is none.") -> Column:
+    """A question whose answer category_numbers reads: the numbered categories, the recommendation, and how to answer."""
+    listing = "\n".join(f"  {k}. {c}" for k, c in enumerate(CATEGORIES, 1))
+    return render("{lead}\n\n{listing}\n\n{actionable}\n\n{ask}", lead=F.lit(lead), listing=F.lit(listing), actionable=stated(actionable), ask=F.lit(ask))
+
+
+def judge_prompt(definition: str, actionable: Column, impact: Column, evidence: Column, ask: str = "Does it hold? Answer YES or NO.") -> Column:
+    """A question whose answer yes_no reads: a definition, the three fields, and how to answer."""
+    return render("{definition}\n\nActionable: {a}\nImpact: {i}\nEvidence: {e}\n\n{ask}", definition=F.lit(definition), a=stated(actionable), i=stated(impact), e=stated(evidence), ask=F.lit(ask))
+
+
 def canonical_categories(c: Column) -> Column:
     """The canonical names among the parts between bars."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), strip), lambda x: x.isin(CATEGORIES))

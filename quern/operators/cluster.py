@@ -6,8 +6,9 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from quern.operators.metrics import cumulative
 from quern.runtime import cut, ship
 
 #: Nodes up to which a component is clustered on a dense matrix (8 bytes a pair); beyond, on its edges alone.
@@ -135,17 +136,20 @@ def weighted_degrees(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
 def reconcile(members: DataFrame, models: int = 5, min_support: int = 1) -> DataFrame:
     """One row per cluster. members: g, i, cluster, degree, model_key, text, impact, evidence, confidence. The centroid is
     the member of the highest degree, the first of equals; clusters are numbered by their first member."""
-    rank = Window.partitionBy("g", "cluster").orderBy(F.desc("degree"), "i")
-    central = members.withColumn("_r", F.row_number().over(rank)).where("_r = 1").select("g", "cluster", F.col("text").alias("actionable"), "impact", "evidence", F.col("confidence").alias("centroid_confidence"))
+    text = F.struct(F.col("text").alias("actionable"), "impact", "evidence", F.col("confidence").alias("centroid_confidence"))
     whole = members.groupBy("g", "cluster").agg(
+        F.max_by(text, F.struct("degree", -F.col("i"))).alias("c"),
         F.count_distinct("model_key").alias("support"), F.array_join(F.array_sort(F.collect_set("model_key")), "|").alias("models_present"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.count("*").alias("n_members")
     )
-    numbered = whole.withColumn("cluster_id", F.row_number().over(Window.partitionBy("g").orderBy("cluster")))
-    out = numbered.where(F.col("support") >= min_support).join(central, ["g", "cluster"])
-    return out.select(
-        F.col("g").alias("article"), "cluster_id", "support", F.concat(F.col("support").cast("string"), F.lit(f"/{models}")).alias("support_fraction"), "models_present", "actionable", "impact", "evidence", "avg_confidence", "centroid_confidence", "n_members"
+    # clusters are numbered before any is left out, and not in one task an article
+    placed = cumulative(cut(whole), [F.col("g"), F.col("cluster")], {"cluster_id": F.lit(1)}, ["g"])
+    return placed.where(F.col("support") >= min_support).select(
+        F.col("g").alias("article"), F.col("cluster_id").cast("int").alias("cluster_id"), "support", F.concat(F.col("support").cast("string"), F.lit(f"/{models}")).alias("support_fraction"), "models_present", "c.actionable", "c.impact", "c.evidence", "avg_confidence", "c.centroid_confidence", "n_members"
     )
 
 
-def ranked(reconciled: DataFrame) -> DataFrame:
-    return reconciled.orderBy("article", F.desc("support"), F.desc("avg_confidence"), "cluster_id")
+def ranked(reconciled: DataFrame, by: str = "article", last: tuple[str, ...] = ("cluster_id",), name: str = "place") -> DataFrame:
+    """Adds each row's place within its article by support, then confidence, highest first, then `last`, which must tell rows
+    apart."""
+    order = [F.col(by), F.desc("support"), F.desc_nulls_last("avg_confidence"), *map(F.col, last)]
+    return cumulative(reconciled, order, {name: F.lit(1)}, [by])

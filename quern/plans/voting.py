@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import text as X
-from quern.operators import metrics, votes
+from quern.operators import cluster, metrics, votes
 from quern.runtime import table
 from quern.schema import CATEGORIES, MODELS
 
@@ -153,11 +153,8 @@ def spread_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reconciled_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of each article's rows by support, then confidence, of support 2 or more."""
-    from pyspark.sql import Window
-
-    r = table(spark, sf_dir, "reconciled_actionables").where("support >= 2")
-    w = Window.partitionBy("venue").orderBy(F.desc("support"), F.desc_nulls_last("avg_confidence"), "cluster_id", "row_id")
-    return r.select("row_id", "venue", "support", F.row_number().over(w).cast("long").alias("place"))
+    r = table(spark, sf_dir, "reconciled_actionables").where("support >= 2").select("row_id", "venue", "support", "avg_confidence", "cluster_id")
+    return cluster.ranked(r, "venue", ("cluster_id", "row_id")).select("row_id", "venue", "support", "place")
 
 
 _F = [edged_histogram, category_verdict_matrix, final_set_summary, majority_vote_verdicts, vote_rates_by_model, vote_agreement_depth, verdict_counts, vote_matrix, scoring_summary, multi_label_category_vote, venue_group_share, describe_numeric, histogram_bins, boxplot_stats, confidence_overlay, bubble_frame, category_summary, model_summary, category_expand_fuzzy, category_frequency, top5_rates, categories_per_row, category_model_matrix, content_dedup_first, spread_verdicts, reconciled_ranking]

@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -23,23 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where a session in one process names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="quern-shared-")
         _own["dir"] = named
     return named.rstrip("/")
 
 
-def _clear() -> None:
-    """Removes the tables this process wrote, where the shared folder is mounted here."""
-    for path in _written:
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def clear() -> None:
+    """Removes the tables this process has written so far, on whatever store; results that still read them are lost. Long
+    sessions call it between jobs, and it is called at exit."""
+    while _written:
+        path = _written.pop()
+        try:
+            jvm = SparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(SparkContext._active_spark_context._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session is gone; a mounted folder can still be cleared
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def _leave() -> None:
+    clear()
     if _own.get("dir"):
         shutil.rmtree(_own["dir"], ignore_errors=True)
 
 
-atexit.register(_clear)
+atexit.register(_leave)
 
 
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:

@@ -39,8 +39,3 @@ def append_answers(spark: SparkSession, folder: str, schema: str, log: str, chec
     fresh = rows.withWatermark("logged_at", lateness).dropDuplicatesWithinWatermark(["venue", "article_title", "model_name", "answered_at", "answer"])
     writer = fresh.writeStream.format("parquet").partitionBy("family").option("path", log).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 day", lateness: str = "7 days") -> DataFrame:
-    """Rows per key in tumbling windows; late rows within the lateness still count."""
-    return events.withWatermark(time, lateness).groupBy(F.window(time, window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")

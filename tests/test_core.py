@@ -1,5 +1,6 @@
 import random
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X, udfs
 from quern.operators import cluster, graph, metrics, responses, similarity, timewindow, validation, votes
 from quern.plans import records
+from quern import runtime
 from quern.runtime import cut, shared_dir
 
 
@@ -174,6 +176,38 @@ def test_models_embedders_and_resuming(spark):
     assert {r.id: r.status for r in responses.resume(df.where("id < 5"), log, "id", "at").collect()} == {0: "open", 1: "done", 2: "failed", 3: "failed", 4: "open"}
 
 
+def test_features_pending_and_prompts(spark):
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "none"), (3, "fail"), (4, None)], "id long, t string")
+
+    def model():
+        def call(prompts):
+            out = []
+            for p in prompts:
+                if "fail" in p:
+                    raise RuntimeError("no")
+                out.append("* Alpha\n-BETA; nonsense" if p.startswith("tidy") and "alpha" in p else "I see: " + p.split(":", 1)[1])
+            return out
+
+        return call
+
+    got = {r.id: r.features for r in responses.assign_features(df, "t", model, "assign:", "tidy:", ["beta", "Alpha", "none"]).collect()}
+    assert got == {1: ["beta", "Alpha"], 2: [], 3: [], 4: []}
+    items = spark.createDataFrame([(1, "x", "done"), (2, "x", "open"), (3, "y", None), (4, "y", "failed"), (5, "z", "open")], "id long, c string, status string")
+    assert sorted(r.id for r in responses.pending(items, "id", "status", F.col("c")).collect()) == [3, 5]
+    assert one(spark, lambda c: X.render("a {{b}} {x}, {x}", x=c), "v") == "a {b} v, v" and one(spark, lambda c: X.render("{x}!", x=c), None) == "!"
+    assert [one(spark, X.stated, v) for v in (" NaN", None, " a ")] == ["Not explicitly stated"] * 2 + ["a"]
+    text = one(spark, X.category_prompt, "do it")
+    assert "  8. CI/CD and DevOps Automation" in text and "\n\ndo it\n\n" in text
+    with pytest.warns(UserWarning, match="source b is missing"):
+        assert responses.tagged_union({"a": df, "b": None}).columns == ["id", "t", "_model_key"]
+
+
+def test_places(spark):
+    rows = [("a", 2, 0.5, 1), ("a", 2, None, 2), ("a", 3, 0.1, 3), ("b", 1, 0.5, 4), ("a", 2, 0.9, 5)]
+    df = spark.createDataFrame(rows, "article string, support long, avg_confidence double, cluster_id long")
+    assert {r.cluster_id: r.place for r in cluster.ranked(df).collect()} == {3: 1, 5: 2, 1: 3, 2: 4, 4: 1}
+
+
 def test_repeated_log_lines(spark):
     rows = [(1, "a", None, 1), (2, None, "a", 1), (3, "a", None, 2), (4, "a", None, 1), (5, "b", "c", 1)]
     df = spark.createDataFrame(rows, "response_id long, venue string, answer string, logged_at long")
@@ -371,12 +405,19 @@ def test_stems_and_scorers(spark):
 class _Session:
     """A session of one setting."""
 
-    def __init__(self, value):
-        self.conf = {"spark.checkpoint.dir": value} if value else {}
+    def __init__(self, value, master="local[2]"):
+        self.conf = {"spark.master": master} | ({"spark.checkpoint.dir": value} if value else {})
 
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(_Session("file:///shared/x/")) == "file:///shared/x"
     own = shared_dir(_Session(None))
     assert own and own == shared_dir(_Session(None))
-    assert cut(spark.range(5)).count() == 5
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(_Session(None, "spark://somewhere:7077"))
+    assert shared_dir(_Session("file:///shared/x", "spark://somewhere:7077")) == "file:///shared/x"
+    written = cut(spark.range(5))
+    assert written.count() == 5
+    folder = Path(written.inputFiles()[0].removeprefix("file://")).parent
+    runtime.clear()
+    assert not folder.exists()
