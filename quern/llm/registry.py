@@ -110,8 +110,22 @@ met AS (
   FROM p a JOIN p b ON a.word = b.word AND a.row_id < b.row_id GROUP BY 1, 2)
 SELECT row_id_a, row_id_b FROM met WHERE shared * 10 >= 7 * (na + nb - shared)
 """
+_GROUPS = r"""
+WITH RECURSIVE w AS (
+  SELECT row_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', actionable, impact, evidence)), '[\p{L}\p{N}]+'))) AS s
+  FROM reconciled_actionables),
+k AS (SELECT row_id, s, min(row_id) OVER (PARTITION BY s) AS class_id FROM w),
+p AS (SELECT class_id, len(s) AS n, unnest(s) AS word FROM (SELECT DISTINCT class_id, s FROM k)),
+met AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM p a JOIN p b ON a.word = b.word AND a.class_id <> b.class_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM met WHERE shared * 10 >= 7 * (na + nb - shared)),
+r(x, y) AS (SELECT class_id, class_id FROM k UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+g AS (SELECT x, min(y) AS group_id FROM r GROUP BY x),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT row_id, class_id, group_id, coalesce(n_links, 0) AS n_links FROM k JOIN g ON class_id = x LEFT JOIN n ON class_id = a
+"""
 ORACLES: dict[str, str] = {
     "p1_found": _CONTENTS + "SELECT keep_id, row_id FROM c JOIN g USING (k) WHERE row_id <> keep_id",
     "p1_contents": _CONTENTS + "SELECT keep_id, n_copies FROM g",
     "p4_found": _WORDS,
+    "p4_groups": _GROUPS,
 }
