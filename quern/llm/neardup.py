@@ -300,8 +300,11 @@ class NearDuplicates:
             if held is not None:
                 yield from run(held)
 
-        found = rest.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
-        side = lambda k: self.sets.select(F.col("uid").alias(k), F.col("words").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
+        found = runtime.cut(rest.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct())
+        # only the sets of pairs that are left go to them
+        ids = found.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        sets = runtime.cut(self.sets.join(ids, "uid", "left_semi"))
+        side = lambda k: sets.select(F.col("uid").alias(k), F.col("words").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
         checked = found.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb"))).withColumn("either", F.size("wa") + F.size("wb") - F.col("both"))
         # in whole numbers, so that a pair exactly at the threshold is in
         least = Fraction(str(threshold)).limit_denominator(10**6)
