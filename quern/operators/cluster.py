@@ -104,21 +104,23 @@ def clusters(pool: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """(node, root) for each node of the edges; root is the smallest node of its component. Large star and small star in
     turn, each round written to the shared folder, until the edges stay the same."""
+    state = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).collect()[0]
     now = cut(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x != y").distinct())
-    for _ in range(rounds):
+    before = state(now)
+    for _ in range(rounds if before[0] else 0):
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         kept = large.join(low, "x")
         small = kept.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(kept.select("x", F.col("m").alias("y"))).where("x != y").distinct()
-        new = cut(small)
-        sums = [t.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).collect()[0] for t in (now, new)]
-        now = new
-        if sums[0] == sums[1]:
+        now, last = cut(small), before
+        before = state(now)
+        if before == last:
             break
     else:
-        raise RuntimeError("components didn't settle")
+        if before[0]:
+            raise RuntimeError("components didn't settle")
     roots = now.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return roots.unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root"))).distinct()
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.runtime import cut
+
 
 def low_features(features: DataFrame, project: str, month: str, names: list[str], trailing: int = 2, months: DataFrame | None = None) -> DataFrame:
     """(project, month, feature) where the sum over month - trailing .. month is at most the project's mean of all months.
@@ -34,10 +36,25 @@ def feature_list(features: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(features, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _matched(low: DataFrame, actionables: DataFrame, id_col: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """(project, month, set of low features), and the actionables (set, id, importance) that share a feature with each distinct
+    set: there are few sets, so actionables meet them instead of every project and month."""
+    sets = cut(low.groupBy("project", "month").agg(F.array_join(F.sort_array(F.collect_set("feature")), "\n").alias("lacks")))
+    items = actionables.select(F.col(id_col).alias("id"), importance(F.col(features)).alias("importance"), F.explode(F.array_distinct(feature_list(F.col(features)))).alias("feature"))
+    kinds = sets.select("lacks").distinct().select("lacks", F.explode(F.split("lacks", "\n")).alias("feature"))
+    return sets, kinds.join(items, "feature").select("lacks", "id", "importance").distinct()
+
+
 def recommend(low: DataFrame, actionables: DataFrame, id_col: str, features: str) -> DataFrame:
     """(project, month, id, importance) of each actionable that shares a feature with a project's low ones."""
-    items = actionables.select(F.col(id_col).alias("id"), importance(F.col(features)).alias("importance"), F.explode(F.array_distinct(feature_list(F.col(features)))).alias("feature"))
-    return low.select("project", "month", "feature").join(items, "feature").select("project", "month", "id", "importance").distinct()
+    sets, matched = _matched(low, actionables, id_col, features)
+    return sets.join(matched, "lacks").select("project", "month", "id", "importance")
+
+
+def recommended_totals(low: DataFrame, actionables: DataFrame, id_col: str, features: str) -> DataFrame:
+    """(project, month, n, importance): how many actionables `recommend` gives, and their importance, without listing them."""
+    sets, matched = _matched(low, actionables, id_col, features)
+    return sets.join(matched.groupBy("lacks").agg(F.count("*").alias("n"), F.sum("importance").alias("importance")), "lacks").select("project", "month", "n", "importance")
 
 
 def nested(recommended: DataFrame) -> DataFrame:

@@ -291,8 +291,7 @@ def feature_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actionables whose features (made from the row number) a project lacks, counted by project and month."""
     low = timewindow.low_features(_activity(spark, sf_dir), "project", "month", ["view", "signup", "purchase", "error", "click"])
     items = table(spark, sf_dir, "validation_sample").select("item_id", F.concat_ws(", ", F.when(F.col("row_id") % 2 == 0, "view"), F.when(F.col("row_id") % 3 == 0, "error"), F.when(F.col("row_id") % 5 == 0, "click")).alias("features"))
-    rec = timewindow.recommend(low, items, "item_id", "features")
-    return rec.groupBy("project", "month").agg(F.count("*").alias("n"), F.sum("importance").alias("importance")).withColumn("month", F.col("month").cast("long"))
+    return timewindow.recommended_totals(low, items, "item_id", "features").withColumn("month", F.col("month").cast("long"))
 
 
 _F = [similar_pairs_lexical, similar_pairs_ensemble, disagreement_sheet, unresolved_counts, graph_payload_nodes, graph_payload_edges, graph_stats, cluster_reconcile, reconcile_default_theta, cluster_centroid, builtin_pair_scores, builtin_calibration, theta_calibration_coarse, theta_calibration_best, roc_points, roc_auc, kappa_by_field, disagreement_worklist, conservative_resolution, composite_validity, confusion_prf, plain_metrics, weighted_metrics, crosswalk_error_positions, stratified_sample, stratum_report, blinded_export, ground_truth, positional_merge, sample_lookup, graph_edges, graph_nodes, graph_category_ids, category_degree, category_chunks, keyword_search, category_best_score, graph_visibility, semantic_search_topk, low_features, feature_recommendations]

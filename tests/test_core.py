@@ -297,6 +297,8 @@ def test_time_window(spark):
     low = timewindow.low_features(df, "proj", "month", ["a", "b"])
     rec = timewindow.recommend(low, items, "id", "f")
     assert {(r.month, r.id, r.importance) for r in rec.collect()} == {(0, "i1", 2), (0, "i4", 1), (5, "i1", 2), (5, "i4", 1)}
+    totals = timewindow.recommended_totals(low, items, "id", "f")
+    assert {(r.month, r.n, r.importance) for r in totals.collect()} == {(0, 2, 3), (5, 2, 3)}
     assert {r.json for r in timewindow.nested(rec).where("month = 0").collect()} == {'{"p":{"0":[{"id":"i1","importance":2},{"id":"i4","importance":1}]}}'}
 
 
