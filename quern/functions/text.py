@@ -154,7 +154,7 @@ def numbered_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.split(c, "\n"), lambda x: x.rlike("^[0-9]")), "\n")
 
 
-def plain_ids(c: Column, tokens: list[str] = ("[", "]", "ReACT-")) -> Column:
+def plain_ids(c: Column, tokens: list[str] = ("[", "]")) -> Column:
     """Without the tokens that mark reference ids."""
     return reduce(lambda x, t: F.replace(x, F.lit(t), F.lit("")), tokens, c)
 
