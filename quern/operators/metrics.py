@@ -11,7 +11,12 @@ def kappa(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Cohen's kappa of two label columns, with n and agreement; labels '' and N/A on either side leave a pair out.
     Chance agreement of 1 gives kappa 1 if all agree, else 0."""
     kept = pairs.where(f"{a} not in ('', 'N/A') and {b} not in ('', 'N/A')")
-    cells = kept.groupBy(*by, a, b).agg(F.count("*").alias("c"))
+    return kappa_of_counts(kept.groupBy(*by, a, b).agg(F.count("*").alias("c")), by, a, b)
+
+
+def kappa_of_counts(cells: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """kappa of pairs counted by their two labels: c is the number. The counts are written, as three sums read them."""
+    cells = cut(cells)
     whole = cells.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("c")).otherwise(0)).alias("same"))
     left, right = (cells.groupBy(*by, F.col(x).alias("label")).agg(F.sum("c").alias(f"n_{k}")) for x, k in ((a, "a"), (b, "b")))
     chance = left.join(right, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("cross"))

@@ -61,11 +61,22 @@ def two_annotators(answers: DataFrame, fields: list[str], item: str = "item_id",
 
 def annotator_pairs(answers: DataFrame, fields: list[str], item: str = "item_id", annotator: str = "annotator_id") -> DataFrame:
     """(item, r, s, field, a, b) of every two annotators of an item, a before b by name; r and s are their places among the
-    item's."""
+    item's. Neither side is broadcast: both have a row per answer and field."""
     ranked = answers.withColumn("r", F.row_number().over(Window.partitionBy(item).orderBy(annotator)))
     long = ranked.select(item, "r", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("x")).select(item, "r", "x.*")
     other = long.select(item, "field", F.col("r").alias("s"), F.col("v").alias("b"))
-    return long.join(other, [item, "field"]).where("r < s").select(item, "r", "s", "field", F.col("v").alias("a"), "b")
+    return long.join(other.hint("merge"), [item, "field"]).where("r < s").select(item, "r", "s", "field", F.col("v").alias("a"), "b")
+
+
+def pair_counts(answers: DataFrame, fields: list[str], labels: tuple[str, ...] = ("YES", "NO"), item: str = "item_id", annotator: str = "annotator_id") -> DataFrame:
+    """(field, a, b, c): how many pairs of annotator_pairs have labels a and b. No pair is made: an answer counts the item's
+    answers of each label before it by name, a missing name last."""
+    before = Window.partitionBy(item).orderBy(F.asc_nulls_last(annotator)).rowsBetween(Window.unboundedPreceding, -1)
+    cells = [(k, f, a, b) for k, f in enumerate(fields) for a in labels for b in labels]
+    seen = answers.where(F.col(item).isNotNull()).select(*fields, *[F.count_if(F.col(f) == a).over(before).alias(f"_{k}_{a}") for k, f in enumerate(fields) for a in labels])
+    sums = seen.agg(*[F.sum(F.when(F.col(f) == b, F.col(f"_{k}_{a}"))).alias(f"_{k}_{a}_{b}") for k, f, a, b in cells])
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{k}_{a}_{b}").alias("c")) for k, f, a, b in cells]))
+    return sums.select(rows.alias("x")).select("x.*").where("c > 0")
 
 
 def combined(pairs: DataFrame, item: str = "item_id", by: tuple[str, ...] = ("task",)) -> DataFrame:

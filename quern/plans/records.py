@@ -112,7 +112,7 @@ def _every_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kappa_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cohen's kappa over every two annotators of an item, a before b by name."""
-    k = metrics.kappa(_every_two(spark, sf_dir), ["field"], "a", "b")
+    k = metrics.kappa_of_counts(validation.pair_counts(_answers(spark, sf_dir), _FIELDS), ["field"], "a", "b")
     k = k.select("field", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
     return k.withColumn("reading", X.interpret_kappa(F.col("kappa")))
 

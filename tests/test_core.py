@@ -247,6 +247,18 @@ def test_kappa_edges(spark):
     assert got["same"].kappa == 1.0 and got["mixed"].n == 3 and got["mixed"].kappa == pytest.approx((2 / 3 - 4 / 9) / (5 / 9)) and got["apart"].kappa == 0.0
 
 
+def test_pairs_of_annotators_are_counted_without_being_made(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i if i != "i7" else None, f"A{a:02}", *(str(x) for x in rng.choice(["YES", "NO", "N/A", ""], 2))) for i in (f"i{k}" for k in range(40)) for a in rng.permutation(12)[: rng.integers(0, 8)]]
+    answers = spark.createDataFrame(rows, "item_id string, annotator_id string, f string, g string")
+    pairs = validation.annotator_pairs(answers, ["f", "g"])
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    wanted = pairs.where("a in ('YES', 'NO') and b in ('YES', 'NO')").groupBy("field", "a", "b").count().collect()
+    counts = validation.pair_counts(answers, ["f", "g"])
+    assert "Join" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, wanted)) and len(wanted) == 8
+
+
 def test_metrics_zero_denominators(spark):
     df = spark.createDataFrame([(0, 0), (0, 2)], "t int, p int")
     r = metrics.rounded_metrics(df, "t", "p").collect()[0]
