@@ -241,6 +241,22 @@ def test_votes(spark):
     assert got[1].assigned_categories == "New Contributor Onboarding and Involvement | Automated Testing and Quality Assurance" and got[2].assigned_categories == "NONE"
 
 
+def test_large_groups_are_clustered_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    rows = [(g, i, "abc"[rng.integers(3)], " ".join(rng.choice(words[:30] if i % 3 else words, 8))) for g, n in (("x", 150), ("y", 70), ("z", 5)) for i in range(n)]
+    rows += [("x", 150 + k, "d", rows[k][3]) for k in range(30)]  # ties
+    grams = cut(similarity.grams(spark.createDataFrame(rows, "g string, i long, m string, text string"), "g", "i", "text", ["m"]))
+    edges = cut(similarity.similar_pairs(grams, "m", 0.08))
+    wanted = cluster.weighted_degrees(cut(cluster.clusters(grams.select("g", "i"), edges)), edges)
+    of = lambda t: {(r.g, r.i): (r.cluster, pytest.approx(r.degree, abs=2e-4)) for r in t.collect()}
+    wanted, steps = of(wanted), []
+    monkeypatch.setattr(cluster, "cut", lambda t, cut=cut: steps.append(t.columns) or cut(t))
+    assert of(cluster.clustered(grams, "m", 0.08, 20, 300, 40)) == wanted
+    assert steps.count(["n", "i", "j", "sim"]) > 2 and len({c for c, _ in wanted.values()}) < len(wanted) / 2
+    assert of(cluster.clustered(grams, "m", 0.08, 20)) == wanted == of(cluster.clustered(grams, "m", 0.08))
+
+
 def test_kappa_edges(spark):
     rows = [("same", "YES", "YES")] * 3 + [("mixed", "YES", "YES"), ("mixed", "NO", "NO"), ("mixed", "YES", "NO"), ("mixed", "N/A", "YES"), ("mixed", "", "NO"), ("apart", "YES", "NO")]
     got = {r.f: r for r in metrics.kappa(spark.createDataFrame(rows, "f string, a string, b string"), ["f"], "a", "b").collect()}
