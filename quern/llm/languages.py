@@ -1,19 +1,30 @@
 """Languages learned from the texts themselves, as clusters of character trigrams.
 
-A bounded sample is clustered (spherical k-means on square roots of trigram frequencies from farthest seeds, clusters whose
-frequencies overlap by more than `same` joined), and each cluster's trigram frequencies become the model of a language. The
-log-likelihood of a text per trigram also has a mean and a deviation within its language, so a text can fit none.
+All distinct texts take part. Dealt by hash, they are clustered some at a time (spherical k-means on square roots of trigram
+frequencies from farthest seeds); what leaves is the clusters' trigram counts, which are folded level by level until a few
+languages are left (`fold`). Their trigram frequencies become the models. The log-likelihood of a text per trigram also has
+a mean and a deviation within its language, again over all distinct texts, so a text can fit none.
 Scripts come from the Unicode blocks of letters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from quern import runtime
+
 _BINS, _SMALL = 1 << 16, 1 << 12
+#: Texts clustered at a time, texts of a task, tasks whose clusters are folded into one. They decide how work is dealt; no text is left out.
+_AT_ONCE, _TASK, _FAN = 2000, 16_000, 16
+#: Characters from which on a normalised text is learned from.
+LEAST = 120
 #: First code point of each run of letters, and its script; '' is no letter.
 _BLOCKS = [
     (0, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x250, ""), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"),
@@ -89,31 +100,69 @@ class Languages:
         neighbours share a character, so only every third counts."""
         return self.mean[language] - far * (self.spread[language] + self.single[language] * np.sqrt(3 / np.maximum(n, 1)))
 
-    def differ(self, prompts: list[str], answers: list[str], margin: float, least: int = 40, far: float = 5.0, known: int = 2500) -> np.ndarray:
+    def measure(self, prompts: list[str], answers: list[str], told: list[bool] | None = None) -> dict[str, np.ndarray]:
+        """What `differs` looks at, of each pair: whether the scripts differ (of pairs to be told only); the prompt's and the
+        answer's most likely language, trigrams and log-likelihood per trigram; the answer's in the prompt's language, and
+        how many nats that is below its best one."""
+        script = [(told is None or told[i]) and other_script(p, a) for i, (p, a) in enumerate(zip(prompts, answers))]
+        (p, n_p), (a, n_a) = self.scores(prompts), self.scores(answers)
+        at, none = np.arange(len(prompts)), not len(self.logs)
+        own, best = (np.zeros(len(prompts), np.int64),) * 2 if none else (p.argmax(axis=1), a.argmax(axis=1))
+        p, a = (np.zeros((len(prompts), 1)),) * 2 if none else (p, a)
+        per_p, per_a = np.maximum(n_p, 1), np.maximum(n_a, 1)
+        return {
+            "script": np.array(script, bool), "own": own, "n_p": n_p, "fit_p": p[at, own] / per_p, "best": best, "n_a": n_a,
+            "fit_a": a[at, best] / per_a, "fit": a[at, own] / per_a, "gap": a[at, best] - a[at, own],
+        }
+
+    def differs(self, m: dict[str, np.ndarray], margin: float, least: int = 40, far: float = 5.0, known: int = 2500) -> np.ndarray:
         """Whether each answer is of another language than its prompt: of another script, more likely by the margin (in
         nats) in another language, or, from `least` trigrams on, `far` deviations away from the prompt's language, if that was
         seen with `known` trigrams: of one known from few words, other words tell nothing."""
-        if not prompts:
-            return np.zeros(0, bool)
-        out = np.array([other_script(p, a) for p, a in zip(prompts, answers)])
         if not len(self.logs):
-            return out
-        (p, n_p), (a, n_a) = self.scores(prompts), self.scores(answers)
-        own, at = p.argmax(axis=1), np.arange(len(prompts))
+            return m["script"]
+        own = m["own"]
         # a prompt of few trigrams, or of none of the languages, tells nothing
-        sure = (n_p >= least) & (p[at, own] / np.maximum(n_p, 1) >= self.low(n_p, own, far))
-        gap = a.max(axis=1) - a[at, own]
-        alien = (n_a >= least) & (self.types[own] >= known) & (a[at, own] / np.maximum(n_a, 1) < self.low(n_a, own, far))
-        return out | sure & ((gap >= margin) | alien)
+        sure = (m["n_p"] >= least) & (m["fit_p"] >= self.low(m["n_p"], own, far))
+        alien = (m["n_a"] >= least) & (self.types[own] >= known) & (m["fit"] < self.low(m["n_a"], own, far))
+        return m["script"] | sure & ((m["gap"] >= margin) | alien)
 
+    def differ(self, prompts: list[str], answers: list[str], margin: float, **how: float) -> np.ndarray:
+        return self.differs(self.measure(prompts, answers), margin, **how)
 
-def fit(texts: list[str], seeds: int = 24, same: float = 0.72, rounds: int = 12, few: int = 5, least: int = 120) -> Languages:
-    """The languages of a sample of normalised texts; those shorter than `least` are left out."""
-    texts = [t for t in dict.fromkeys(texts) if len(t) >= least]
-    if not texts:
-        return Languages(np.zeros((0, _BINS)), *np.zeros((4, 0)))
-    h, row = trigrams(texts)
-    count = np.bincount(row * _SMALL + (h >> 4), minlength=len(texts) * _SMALL).reshape(len(texts), _SMALL).astype(np.float32)
+
+class Part(NamedTuple):
+    """A cluster of texts: how many, and how often they have each trigram."""
+
+    texts: int
+    bins: np.ndarray
+    counts: np.ndarray
+
+
+def _root(wide: np.ndarray) -> np.ndarray:
+    small = wide.reshape(-1, _SMALL, _BINS // _SMALL).sum(axis=2)
+    return np.sqrt(small / np.maximum(small.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+
+
+def _logs(wide: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Log-likelihoods, with `extra` counts of each trigram besides the seen ones."""
+    return np.log((wide + extra) / (wide.sum(axis=-1, keepdims=True) + extra * _BINS))
+
+
+def _likely(wide: np.ndarray) -> np.ndarray:
+    """Log-likelihoods in which unseen trigrams have a hundredth, however much was seen."""
+    return _logs(wide, wide.sum(axis=-1, keepdims=True) * 0.01 / _BINS).astype(np.float32)
+
+
+def clusters(texts: list[str], seeds: int = 24, rounds: int = 4) -> list[Part]:
+    """The clusters of some texts, those of one language joined; a single strange text is one of its own."""
+    count, found = np.zeros((len(texts), _SMALL), np.float32), []
+    for i in range(0, len(texts), 200):  # in small arrays, which stay in the cache
+        some = texts[i : i + 200]
+        h, row = trigrams(some)
+        count[i : i + 200] = np.bincount(row * _SMALL + (h >> 4), minlength=len(some) * _SMALL).reshape(len(some), _SMALL)
+        found.append((h, row + i))
+    h, row = (np.concatenate(x) for x in zip(*found))
     total = np.maximum(count.sum(axis=1, keepdims=True), 1)
     x = np.sqrt(count / total)
     centre = [x[int(total.argmax())]]
@@ -121,39 +170,148 @@ def fit(texts: list[str], seeds: int = 24, same: float = 0.72, rounds: int = 12,
     for _ in range(min(seeds, len(texts)) - 1):  # farthest first
         centre.append(x[int(nearest.argmin())])
         nearest = np.maximum(nearest, x @ centre[-1])
-    c, of = np.array(centre), np.zeros(len(texts), np.int64)
+    c, of = np.array(centre), np.full(len(texts), -1)
     for _ in range(rounds):
-        of = (x @ c.T).argmax(axis=1)
-        c = np.array([np.sqrt(count[of == k].sum(axis=0) / max(1, count[of == k].sum())) for k in range(len(c))])
-    # the large clusters of one language overlap; a small one joins its nearest
-    order = np.argsort(-np.bincount(of, minlength=len(c)), kind="stable")
-    group, heads = np.arange(len(c)), []
-    for k in order:
-        near = max(heads, key=lambda g: float(c[g] @ c[k]), default=None)
-        n = int((of == k).sum())
-        if near is not None and (n < few or c[near] @ c[k] > same):
-            group[k] = near
+        before, of = of, (x @ c.T).argmax(axis=1)
+        if (of == before).all():
+            break
+        c = np.array([count[of == k].sum(axis=0) for k in range(len(c))])
+        c = np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1))
+    wide = np.bincount(of[row] * _BINS + h, minlength=len(c) * _BINS).reshape(len(c), _BINS)
+    n = np.bincount(of, minlength=len(c))
+    return fold([Part(int(n[k]), at, wide[k][at]) for k in range(len(c)) if len(at := np.flatnonzero(wide[k]))])
+
+
+def _joined(parts: list[Part], same: float, near: float) -> list[Part]:
+    """From the largest down, each part joins the likeliest of those before it that its frequencies overlap by more than
+    `same`, or that its trigrams are less than `near` nats worse in than that one's own are: few words of a language, as in
+    a form that recurs, overlap little with all of it, but fit it."""
+    n, wide, root, logs, own = [], [], np.zeros((len(parts), _SMALL), np.float32), [], []
+    for p in sorted(parts, key=lambda p: -p.texts):
+        new = np.zeros(_BINS, np.int64)
+        new[p.bins] = p.counts
+        share, k = p.counts / p.counts.sum(), len(n)
+        fits = np.array([share @ x[p.bins] for x in logs])
+        to = np.flatnonzero((root[:k] @ _root(new)[0] > same) | (np.array(own) - fits < near)) if k else ()
+        if len(to):
+            k = int(to[fits[to].argmax()])
+            n[k], wide[k] = n[k] + p.texts, wide[k] + new
         else:
-            heads.append(k)
-    label = group[of]
-    kept = np.unique(label)
-    wide = np.array([np.bincount(h[(label == k)[row]], minlength=_BINS) for k in kept], float)
-    logs = np.log((wide + 0.05) / (wide.sum(axis=1, keepdims=True) + 0.05 * _BINS))
-    found = Languages(logs, np.zeros(len(kept)), np.zeros(len(kept)), np.ones(len(kept)), (wide > 0).sum(axis=1))
-    score, n = found.scores(texts)
-    per = score / np.maximum(n, 1)[:, None]
-    for i, k in enumerate(kept):
-        own = per[label == k, i]
-        found.mean[i], found.spread[i], found.single[i] = own.mean(), own.std(), logs[i][h[(label == k)[row]]].std()
+            for held, x in ((n, p.texts), (wide, new), (logs, None), (own, 0.0)):
+                held.append(x)
+        root[k], logs[k] = _root(wide[k])[0], _likely(wide[k])
+        own[k] = float(wide[k] @ logs[k] / wide[k].sum())
+    return [Part(t, at := np.flatnonzero(w), w[at]) for t, w in zip(n, wide)]
+
+
+def _gathered(parts: list[Part], few: int, most: int) -> list[Part]:
+    """Parts of fewer than `few` texts, and the small ones of more than `most` parts, join the one that they are likeliest in,
+    the likeliest two first: so what is rare comes together before it goes to what is frequent."""
+    n, wide = np.array([p.texts for p in parts]), np.zeros((len(parts), _BINS), np.int64)
+    for k, p in enumerate(parts):
+        wide[k, p.bins] = p.counts
+    logs, left, fits = np.array([_likely(x) for x in wide]), np.ones(len(parts), bool), np.zeros((len(parts), len(parts)))
+    likely = lambda k: logs[:, at := np.flatnonzero(wide[k])] @ (wide[k, at] / wide[k].sum())
+    for k in range(len(parts)):
+        fits[k] = likely(k)
+    while (left_n := int(left.sum())) > 1:
+        small = left & (n < few)
+        if not small.any() and left_n > most:
+            small[np.argsort(np.where(left, -n, 1), kind="stable")[most // 2 : left_n]] = True
+        if not small.any():
+            break
+        allowed = small[:, None] & left & ~np.eye(len(parts), dtype=bool)
+        i, j = divmod(int(np.where(allowed, fits, -np.inf).argmax()), len(parts))
+        left[i], n[j], wide[j] = False, n[j] + n[i], wide[j] + wide[i]
+        logs[j] = _likely(wide[j])
+        fits[j] = likely(j)
+        for k in np.flatnonzero(left):
+            at = np.flatnonzero(wide[k])
+            fits[k, j] = logs[j, at] @ (wide[k, at] / wide[k].sum())
+    return [Part(int(n[k]), at := np.flatnonzero(wide[k]), wide[k][at]) for k in np.flatnonzero(left)]
+
+
+def fold(parts: list[Part], few: int = 0, most: int = 32, same: float = 0.72, near: float = 1.5) -> list[Part]:
+    """At most `most` parts, of `few` texts and more, that hold all counts of the given ones."""
+    parts = _joined(parts, same, near)
+    return _joined(_gathered(parts, few, most), same, near) if len(parts) > most or any(p.texts < few for p in parts) else parts
+
+
+def modelled(parts: list[Part]) -> Languages:
+    """The languages of parts, without means and spreads of their texts. All languages have the same counts besides those
+    seen, in all a thousandth of the counts of the table (no more than a language's own): the smaller a language's part in a
+    table of any size, the less an unseen trigram tells against it."""
+    wide = np.zeros((len(parts), _BINS))
+    for k, p in enumerate(parts):
+        wide[k, p.bins] = p.counts
+    own = wide.sum(axis=1, keepdims=True)
+    logs, share = _logs(wide, np.maximum(0.05, np.minimum(wide.sum() / 1000, own) / _BINS)), wide / np.maximum(own, 1)
+    single = np.sqrt((share * (logs - (share * logs).sum(axis=1, keepdims=True)) ** 2).sum(axis=1))
+    return Languages(logs, np.zeros(len(parts)), np.zeros(len(parts)), single, (wide > 0).sum(axis=1))
+
+
+def fit(texts: list[str], few: int = 5, least: int = LEAST) -> Languages:
+    """The languages of normalised texts; those shorter than `least` are left out."""
+    texts = [t for t in dict.fromkeys(texts) if len(t) >= least]
+    found = modelled(fold([p for i in range(0, len(texts), _AT_ONCE) for p in clusters(texts[i : i + _AT_ONCE])], few))
+    m = found.measure(texts, [""] * len(texts))
+    for k in range(len(found.logs)):
+        own = m["fit_p"][(m["own"] == k) & (m["n_p"] > 0)]
+        found.mean[k], found.spread[k] = (own.mean(), own.std()) if len(own) else (0, 0)
     return found
 
 
-def learn(df: DataFrame, columns: dict[str, Callable[[str], str]], rows: int, least: int = 120) -> Languages:
-    """The languages of the columns' texts, each normalised by its function: at most `rows` texts of each, the smallest by
-    hash. Only a sample is looked at here; the languages then judge all rows."""
-    texts: list[str] = []
-    share = min(1.0, 4 * rows / max(1, df.count()))  # no partition sends more than its part of the sample
-    for c, normalised in columns.items():
-        some = df.select(F.col(c).alias("t"), F.xxhash64(c).alias("h")).where((F.length("t") >= least) & (F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32))))
-        texts += [normalised(r["t"]) for r in some.orderBy("h").limit(rows).select("t").collect()]
-    return fit(texts, least=least)
+_PARTS = "task long, place long, texts long, bins array<int>, counts array<long>"
+
+
+def _batch(parts: list[Part], task: int) -> pa.RecordBatch:
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(p.bins) for p in parts]))).astype(np.int32))
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p.bins for p in parts], [p.counts for p in parts])]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind))) for x, kind in zip(flat, (np.int32, np.int64))]
+    place, texts = np.arange(len(parts)), pa.array([p.texts for p in parts], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), task)), pa.array(place), texts, *lists], names=["task", "place", "texts", "bins", "counts"])
+
+
+def _parts(t: pa.Table) -> list[Part]:
+    t = t.sort_by([("task", "ascending"), ("place", "ascending")])
+    return [Part(n, b.values.to_numpy(), c.values.to_numpy()) for n, b, c in zip(t["texts"].to_pylist(), t["bins"], t["counts"])]
+
+
+def learn(texts: DataFrame, few: int = 5) -> Languages:
+    """The languages of all distinct texts of (h, t), h the hash of t; means and spreads of their texts are for `describe`."""
+    tasks = max(1, -(-texts.count() // _TASK))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, last = [], [], None
+        for b in batches:
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if h != last:
+                    held.append(t)
+                    last = h
+                if len(held) == _AT_ONCE:
+                    parts, held = parts + clusters(held), []
+        parts += clusters(held) if held else []
+        if parts:
+            yield _batch(fold(parts), TaskContext.get().partitionId())
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        t = pa.Table.from_batches(held).sort_by("task") if held else None
+        for task in sorted(set(t["task"].to_pylist())) if held else []:  # a shuffle partition may hold several
+            one = t.filter(pc.equal(t["task"], task))
+            yield _batch(fold(_parts(one.drop_columns("task").rename_columns({"was": "task"}))), task)
+
+    found = runtime.cut(texts.select("h", "t").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(first, _PARTS))
+    while tasks > _FAN:
+        tasks = -(-tasks // _FAN)
+        dealt = found.withColumnRenamed("task", "was").withColumn("task", F.floor(F.col("was") / _FAN)).repartition(tasks, "task")
+        found = runtime.cut(dealt.mapInArrow(again, _PARTS))
+    return modelled(fold(_parts(found.toArrow()), few))
+
+
+def describe(languages: Languages, fits: DataFrame) -> Languages:
+    """The languages with the means and spreads of all distinct texts of (h, language, fit)."""
+    each = fits.groupBy("h").agg(F.first("language").alias("language"), F.first("fit").alias("fit"))
+    for r in each.groupBy("language").agg(F.avg("fit").alias("mean"), F.stddev_pop("fit").alias("spread")).collect():
+        languages.mean[r.language], languages.spread[r.language] = r["mean"], r["spread"]
+    return languages

@@ -21,9 +21,8 @@ never leads to a record, says no. Advice that recurs comes with its records, and
 clause. An answer that doesn't go on to advise is a refusal when at least a quarter (`bare_words`) of the words of its statement
 lie in templates if it is bare, and half (`own_words`) if not, by themselves or without a leading word. No list of phrases takes part; fixed messages (`message`) are sound.
 
-Languages are learned from the pairs: a sample of at most `fit_rows` prompts and as many answers (the smallest by hash of
-the text) is clustered by character trigrams, and the clusters' trigram frequencies become the languages. All pairs are then
-judged: an answer is of another language when it is at least exp(margin) times as likely in some language than in the
+Languages are learned from the pairs: all distinct prompts and answers of 120 characters and more are clustered by character
+trigrams, and the clusters' trigram frequencies become the languages. All pairs are then judged: an answer is of another language when it is at least exp(margin) times as likely in some language than in the
 prompt's, or fits the prompt's language far less well than texts of its length do (a language nobody asked in).
 
 Defined cases: a null answer is empty; with a null or empty prompt nothing is copied and no language differs; rows with
@@ -38,11 +37,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quern import runtime
-from quern.llm.languages import learn
+from quern.llm.languages import LEAST, describe, learn
 from quern.llm.neardup import _lists, components, minhash_keys
 
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[\[\]{}:,]|[^\s\[\]{}:,'\"]+|['\"]", re.S)
@@ -139,8 +139,9 @@ class Reading:
     n_words: int = 0  # of all clauses of the statement
     bare: bool = False
     advises: bool = False
-    flat: str = ""  # all texts, normalised; '' where no language is to be told
+    flat: str = ""  # all texts, normalised
     asked: str = ""  # the prompt, normalised
+    told: bool = False  # whether a language is to be told
 
 
 def _windows(words: list[str]) -> np.ndarray:
@@ -171,18 +172,19 @@ def _unfinished(text: str) -> bool:
 
 
 def read_pair(prompt: str | None, answer: str | None, copy_share: float) -> Reading:
+    asked = normal(prompt) if prompt else ""
     if answer is None:
-        return Reading("empty")
+        return Reading("empty", asked=asked)
     texts, fields, is_open, plain = read_fields(answer)
     fields = [f for x, f in zip(texts, fields) if _is_text(x)]
     texts = [x for x in texts if _is_text(x)]
     if not texts:
-        return Reading("truncated" if is_open else "empty")
-    flat, asked = normal("\n".join(texts)), normal(prompt) if prompt else ""
+        return Reading("truncated" if is_open else "empty", asked=asked)
+    flat = normal("\n".join(texts))
     if asked and copied(words_of(asked), words_of(flat), copy_share):
-        return Reading("copied")
+        return Reading("copied", flat=flat, asked=asked)
     if len(texts) == 1 and _FIXED_MESSAGE.fullmatch(texts[0].strip()):
-        return Reading("truncated" if is_open else None)
+        return Reading("truncated" if is_open else None, flat=flat, asked=asked)
     # where no text of several ends as texts end, that is the answer's style
     loose = len(texts) > 1 and all(map(_unfinished, texts))
     broken = is_open or _unfinished(texts[-1]) and not loose
@@ -207,7 +209,7 @@ def read_pair(prompt: str | None, answer: str | None, copy_share: float) -> Read
     size = {x: len(words_of(x)) for x in parts}
     padded = f" {asked} "
     clauses = [x for x in size if f" {x} " not in padded]
-    return Reading("truncated" if broken else None, clauses, [size[x] for x in clauses], sum(size.values()), bare and not broken, advises, "" if broken or not asked else flat, asked)
+    return Reading("truncated" if broken else None, clauses, [size[x] for x in clauses], sum(size.values()), bare and not broken, advises, flat, asked, bool(flat and asked) and not broken)
 
 
 def _shingles(clause: str) -> list[str]:
@@ -340,36 +342,52 @@ def broken_pairs(
     own_words: float = 0.5,
     bands: int = 12,
     rows: int = 3,
-    fit_rows: int = 2000,
     margin: float = 20.0,
 ) -> DataFrame:
     """(id, defect) of each defective pair."""
     spark = df.sparkSession
     runtime.ship(spark)
-    languages = spark.sparkContext.broadcast(learn(df, {prompt_col: normal, answer_col: lambda x: normal("\n".join(read_fields(x)[0]))}, fit_rows))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, part, number = languages.value, TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                prompts, answers = b.column(1).to_pylist(), b.column(2).to_pylist()
-                found = [read_pair(p, a, copy_share) for p, a in zip(prompts, answers)]
-                at = [i for i, x in enumerate(found) if x.flat]
-                differ = told.differ([found[i].asked for i in at], [found[i].flat for i in at], margin)
-                for i in np.flatnonzero(differ):
-                    found[at[i]].defect = "language"
-                keep = pa.array([i for i, x in enumerate(found) if x.defect or x.clauses], pa.int64())
-                kept = [found[i] for i in keep.to_pylist()]
-                rid = pa.array(np.arange(number, number + len(kept)) | part << 36)
-                number += len(kept)
-                columns = [pa.array([getattr(x, k) for x in kept], kind) for k, kind in zip(names[3:], kinds)]
-                yield pa.RecordBatch.from_arrays([rid, b.column(0).take(keep), b.column(3).take(keep), *columns], names=names)
-
-    names = ["rid", "id", "asked", "defect", "clauses", "weights", "n_words", "bare", "advises"]
-    kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.bool_())
+                found = [read_pair(p, a, copy_share) for p, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                rid = pa.array(np.arange(number, number + len(found)) | part << 36)
+                number += len(found)
+                columns = [pa.array([getattr(x, k) for x in found], kind) for k, kind in (*kinds.items(), *texts.items())]
+                yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(3), *columns], names=["rid", "id", "asked", *kinds, "prompt", "answer", "told"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
+                m = languages.value.measure(*(b[k].to_pylist() for k in ("prompt", "answer", "told")))
+                columns = [pa.array(m[k].astype(kind)) for k, kind in measures.items()]
+                yield pa.RecordBatch.from_arrays([*(b[k] for k in carried), *columns], names=[*carried, *measures])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            differ = languages.value.differs({k: b[k].to_numpy(zero_copy_only=False) for k in measures}, margin) & b["told"].to_numpy(zero_copy_only=False)
+            b = b.set_column(b.schema.get_field_index("defect"), "defect", pc.if_else(pa.array(differ), "language", b["defect"]))
+            yield b.select(plain).filter(pc.or_(b["defect"].is_valid(), pc.greater(pc.fill_null(pc.list_value_length(b["clauses"]), 0), 0)))
+
+    kinds = {"defect": pa.string(), "clauses": pa.list_(pa.string()), "weights": pa.list_(pa.int32()), "n_words": pa.int32(), "bare": pa.bool_(), "advises": pa.bool_()}
+    texts = {"asked": pa.string(), "flat": pa.string(), "told": pa.bool_()}
+    measures = {"script": "bool", "own": "int32", "n_p": "int64", "fit_p": "float64", "best": "int32", "n_a": "int64", "fit_a": "float64", "fit": "float64", "gap": "float64"}
+    plain = ["rid", "id", "asked", *kinds]
+    carried = [*plain, "told", "h_p", "h_a"]
     kind = df.schema[id_col].dataType.simpleString()
+    fields = f"rid long, id {kind}, asked long, defect string, clauses array<string>, weights array<int>, n_words int, bare boolean, advises boolean"
     source = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), prompt_col, answer_col, F.xxhash64(prompt_col).alias("asked"))
-    judged = runtime.cut(source.mapInArrow(read, f"rid long, id {kind}, asked long, defect string, clauses array<string>, weights array<int>, n_words int, bare boolean, advises boolean"))
+    hashed = {h: F.when(F.length(t) >= LEAST, F.xxhash64(t)) for h, t in (("h_p", "prompt"), ("h_a", "answer"))}  # null: not learned from
+    pairs = runtime.cut(source.mapInArrow(read, f"{fields}, prompt string, answer string, told boolean").withColumns(hashed))
+    long_texts = pairs.select(F.col("h_p").alias("h"), F.col("prompt").alias("t")).unionByName(pairs.select(F.col("h_a").alias("h"), F.col("answer").alias("t")))
+    learned = learn(long_texts.where("h is not null"))
+    languages = spark.sparkContext.broadcast(learned)
+    measured = runtime.cut(pairs.mapInArrow(measure, f"{fields}, told boolean, h_p long, h_a long, script boolean, own int, n_p long, fit_p double, best int, n_a long, fit_a double, fit double, gap double"))
+    fits = [measured.where(f"{h} is not null and {n} > 0").select(F.col(h).alias("h"), F.col(k).alias("language"), F.col(fit).alias("fit")) for h, n, k, fit in (("h_p", "n_p", "own", "fit_p"), ("h_a", "n_a", "best", "fit_a"))]
+    languages = spark.sparkContext.broadcast(describe(learned, fits[0].unionByName(fits[1])))
+    judged = runtime.cut(measured.mapInArrow(judge, fields))
     # the clauses of bare answers, with the prompts they answer, and how many other answers open with them
     said = judged.where("clauses is not null").select("bare", "asked", F.col("defect").isNull().alias("whole"), F.explode("clauses").alias("clause")).withColumn("cid", F.xxhash64("clause"))
     bare = runtime.cut(said.where("bare and whole").groupBy("cid", "asked").agg(F.count("*").alias("n"), F.first("clause").alias("clause")))

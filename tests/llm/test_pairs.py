@@ -4,7 +4,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from quern.llm.languages import fit
+from quern.llm import languages
+from quern.llm.languages import fit, learn
 from quern.llm.neardup import minhash_keys
 from quern.llm.pairs import _hashes, _shingles, band_links, broken_pairs, normal, read_answer, read_pair
 
@@ -82,6 +83,41 @@ def test_languages():
     assert not fit([]).differ(["a b"], ["c d"], 20.0).any()
 
 
+def test_rare_language_of_a_large_table(spark):
+    """Ten texts in 24,000 make a language: all are learned from, so answers in it are told from English prompts."""
+    rng = random.Random(11)
+    draw = lambda x, n=24: " ".join(rng.choices(WORDS[x].split(), k=n)) + "."
+    rows = [(i, draw("en", 32), draw("en")) for i in range(12_000)]
+    rows += [(20_000 + i, draw("de", 32), draw("de", 32)) for i in range(5)] + [(30_000 + i, draw("en", 32), draw("de", 32)) for i in range(3)] + [(40_000 + i, draw("de", 32), draw("en")) for i in range(3)]
+    df = spark.createDataFrame(rows, "response_id long, prompt string, answer string").repartition(4)
+    found = {(r.response_id, r.defect) for r in broken_pairs(df).collect()}
+    assert found == {(30_000 + i, "language") for i in range(3)} | {(40_000 + i, "language") for i in range(3)}
+
+
+def test_languages_learned_level_by_level(spark, monkeypatch):
+    """However the texts are dealt and folded, all of them are counted, repeated ones once."""
+    rng = random.Random(7)
+    texts = [normal(" ".join(rng.choices(WORDS[x].split(), k=40))) for x in ("en",) * 400 + ("de",) * 60 + ("es",) * 30]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:50]], "t string").selectExpr("xxhash64(t) as h", "t")
+    whole, order = fit(texts), lambda x: np.argsort(-x.types)
+    for task, fan, parts in ((16_000, 16, 1), (60, 2, 3), (60, 2, 5)):
+        monkeypatch.setattr(languages, "_TASK", task)
+        monkeypatch.setattr(languages, "_FAN", fan)
+        told = learn(df.repartition(parts))
+        assert len(told.logs) == 3 and np.allclose(told.logs[order(told)], whole.logs[order(whole)])
+    assert not len(learn(df.limit(0)).logs)
+
+
+def test_forms_that_recur_are_no_language():
+    """Short texts in few other words of a language belong to it, not to the most frequent one."""
+    rng = random.Random(9)
+    draw = lambda x, n=60: normal(" ".join(rng.choices(WORDS[x].split(), k=n)))
+    form = "leider darf ich dazu nichts sagen bitte stellen sie eine andere frage an das team wenn sie noch hilfe brauchen und nutzer sind"
+    told = fit([draw("en") for _ in range(400)] + [draw("de") for _ in range(60)] + [f"{form} {k}" for k in ("heute", "morgen", "später", "danach")])
+    assert len(told.logs) == 2
+    assert told.differ([draw("de"), draw("en")], [form, form], 20.0).tolist() == [False, True]
+
+
 def advice(k, text="Tell the users that the team cannot help with private setups."):
     return "{'recommendations': [{'recommendation': %r, 'positive_impact': 'It is safer for group %d.', 'evidence': 'NO EVIDENCE FOUND'}]}" % (text, k)
 
